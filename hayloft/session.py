@@ -50,3 +50,12 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint for a side whose row count was checked; otherwise Spark shuffles it."""
     return F.broadcast(df) if fits(df, max_rows) else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a few large splits to all cores before per-row work that dwarfs the scan.
+
+    A no-op for inputs with at least as many splits as the session has cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

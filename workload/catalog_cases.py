@@ -151,14 +151,14 @@ def store_vectors(spark, sf):
 def _edited(spark, sf):
     """Catalog in which every French text has changed since its vectors were made."""
     files = v.files(spark, sf)
-    changed = lambda c: F.when(F.col("lang") == "fr", F.upper(c)).otherwise(F.col(c)).alias(c)
+    changed = lambda c: F.when(F.col("lang") == "fr", F.concat(c, F.lit(" edited"))).otherwise(F.col(c)).alias(c)
     kept = [c for c in files.columns if c not in ("transcript", "llm_description")]
     return files.select(*kept, changed("transcript"), changed("llm_description"))
 
 
 _EDITED = """edited as (select id, description, is_screenshot, is_transcript_analyzed, is_llm_description_analyzed, is_ocr_analyzed, ocr_text,
-  case when lang = 'fr' then upper(transcript) else transcript end as transcript,
-  case when lang = 'fr' then upper(llm_description) else llm_description end as llm_description from files),
+  case when lang = 'fr' then transcript || ' edited' else transcript end as transcript,
+  case when lang = 'fr' then llm_description || ' edited' else llm_description end as llm_description from files),
 expected as (
   select id as item_id, 'D' as kind, description as text from edited
   union all select id, 'O', case when is_screenshot then coalesce(ocr_text, '') else '' end from edited

@@ -8,7 +8,7 @@ from hayloft import schemas as S
 from hayloft.functions import scoring, text
 from hayloft.operators import fusion, lexical
 from workload import views as v
-from workload.registry import query
+from workload.registry import query, shown
 
 
 def index(spark, sf):
@@ -82,34 +82,35 @@ def token_lookup(spark, sf):
 @query(
     "l1_bm25_one_variant",
     v.sql(
-        """select query_id, field, item_id, round(sum(idf * (tf * 2.5e0) / (tf + 1.5e0 * (0.25e0 + 0.75e0 * dl / avgdl))), 9) as score
+        """select query_id, field, item_id, round(sum(idf * (tf * 2.5e0) / (tf + 1.5e0 * (0.25e0 + 0.75e0 * dl / avgdl))), 6) as score
            from postings join idfs using (field, variant, token) join qtokens using (variant, token) where variant = 'original' group by all""",
         "postings", "idfs", "qtokens",
     ),
 )
 def bm25_one_variant(spark, sf):
-    return fields(spark, sf, variants=("original",), weighted=False)
+    return shown(fields(spark, sf, variants=("original",), weighted=False))
 
 
-@query("l2_bm25_fields", v.sql("select query_id, field, item_id, score from bm25", "bm25"))
+@query("l2_bm25_fields", v.sql("select query_id, field, item_id, round(score, 6) as score from bm25", "bm25"))
 def bm25_fields(spark, sf):
-    return fields(spark, sf)
+    return shown(fields(spark, sf))
 
 
-@query("l3_exact_match", v.sql("select query_id, field, exact_match from exact_fields", "exact_fields"))
+@query("l3_exact_match", v.sql("select query_id, field, round(exact_match, 6) as exact_match from exact_fields", "exact_fields"))
 def exact_match(spark, sf):
-    return exact(spark, sf)
+    return shown(exact(spark, sf), "exact_match")
 
 
 @query(
     "l4_single_field_modes",
     v.sql(
-        "select query_id, field, item_id, score, row_number() over (partition by query_id, field order by score desc, item_id) as rank from bm25 where field <> 'caption'",
+        "select query_id, field, item_id, round(score, 6) as score, row_number() over (partition by query_id, field order by score desc, item_id) as rank from bm25 where field <> 'caption'",
         "bm25",
     ),
 )
 def single_field_modes(spark, sf):
-    return fusion.rank(fields(spark, sf, fields=tuple(S.FIELD_WEIGHTS)), ("query_id", "field"), list_bound=bound(spark, sf))
+    scores = fields(spark, sf, fields=tuple(S.FIELD_WEIGHTS))
+    return shown(fusion.rank(scores, ("query_id", "field"), list_bound=bound(spark, sf)))
 
 
 def bound(spark, sf) -> int:
@@ -117,8 +118,12 @@ def bound(spark, sf) -> int:
     return v.table(spark, sf, "documents").count()
 
 
-@query("l5_combined_lexical", v.sql("select query_id, item_id, score from lexical_list", "lexical_list"))
+@query("l5_combined_lexical", v.sql("select query_id, item_id, round(score, 6) as score from lexical_list", "lexical_list"))
 def combined_lexical(spark, sf):
+    return shown(lexical_list(spark, sf))
+
+
+def lexical_list(spark, sf):
     return fusion.max_weighted(fields(spark, sf, fields=tuple(S.FIELD_WEIGHTS)), S.FIELD_WEIGHTS, "field")
 
 

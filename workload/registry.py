@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -12,6 +13,15 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+# sums of doubles agree to this many digits whatever the order of addition
+DIGITS = 6
+
+
+def shown(df: DataFrame, *columns: str, digits: int = DIGITS) -> DataFrame:
+    """``df`` with the named columns (``score`` by default) rounded for comparison."""
+    return df.withColumns({c: F.round(c, digits) for c in columns or ("score",)})
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
         if name in QUERIES:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hayloft.operators import enrich, vectors
+from hayloft.session import spread
 
 MARKERS = (
     "", "@lex ", "@sem ", "@dlex ", "@dsem ", "@olex ", "@osem ", "@tlex ", "@tsem ", "@clip ", "@llm ",
@@ -30,7 +31,7 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
         table(spark, sf, "conversations").where("role = 'assistant'").groupBy("conv_id")
         .agg(F.min_by("text", "turn").alias("caption"))
     )
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"))
     joined = docs.join(labels, "doc_id", "left").join(captions, docs.doc_id == captions.conv_id, "left")
     source = F.substring("source", 4, 9).cast("int")
     typed = joined.withColumn("src", source).withColumn(
@@ -172,7 +173,7 @@ def words(spark: SparkSession, sf: str) -> DataFrame:
     """(lang, word) of every token occurrence of the documents."""
     from hayloft.functions.text import tokens
 
-    return table(spark, sf, "documents").select("lang", F.explode(tokens(F.col("text"))).alias("word"))
+    return spread(table(spark, sf, "documents")).select("lang", F.explode(tokens(F.col("text"))).alias("word"))
 
 
 def word_counts(spark: SparkSession, sf: str) -> DataFrame:
