@@ -143,51 +143,45 @@ def _variant_weight() -> Column:
     return F.element_at(F.create_map(*weights), F.col("variant"))
 
 
-class _Matched(NamedTuple):
-    postings: DataFrame
+class Matched(NamedTuple):
+    """What a batch of queries finds in an index: read once for scores and exact-match scores alike."""
+
+    qtokens: DataFrame  # query_id, variant, token
+    hits: DataFrame  # postings of the asked tokens
     weights: DataFrame  # query_id, field, variant, token, weight, idf, avgdl
+    filled: DataFrame  # fields that hold any text
 
 
-def _match(index: LexicalIndex, qtokens: DataFrame, fields, small: bool) -> _Matched:
-    """Postings and weights of the asked tokens; ``small`` says the query tokens passed the size check.
+def match(index: LexicalIndex, qtokens: DataFrame, fields=S.TEXT_FIELDS) -> Matched:
+    """Postings and weights of the asked tokens.
 
-    Vocabulary and weights hold at most one row per query token and field, so one check covers all.
+    Vocabulary and weights hold at most one row per query token and field, so one size check of the
+    query tokens decides all broadcasts; a larger batch is joined by shuffling.
     """
-    hint = F.broadcast if small else (lambda df: df)
+    hint = F.broadcast if fits(qtokens) else (lambda df: df)
     vocabulary = qtokens.select("variant", "token").distinct()
     wanted = F.col("field").isin(*fields)
     hits = index.postings.where(wanted).join(hint(vocabulary), ["variant", "token"], "left_semi")
-    stats = idf_table(LexicalIndex(hits, index.doc_stats.where(wanted)))
+    doc_stats = index.doc_stats.where(wanted)
+    stats = idf_table(LexicalIndex(hits, doc_stats))
     weights = stats.join(hint(qtokens), ["variant", "token"]).withColumn("weight", _variant_weight())
-    return _Matched(hits, hint(weights))
+    return Matched(hint(qtokens), hits, hint(weights), doc_stats.select("field").distinct())
 
 
-def bm25_fields(
-    index: LexicalIndex,
-    qtokens: DataFrame,
-    fields=S.TEXT_FIELDS,
-    k1: float = S.BM25_K1,
-    b: float = S.BM25_B,
-    variants=tuple(S.VARIANT_WEIGHTS),
-    weighted: bool = True,
-) -> DataFrame:
+def bm25_fields(matched: Matched, k1: float = S.BM25_K1, b: float = S.BM25_B, weighted: bool = True) -> DataFrame:
     """(query_id, field, item_id, score): BM25 summed over distinct query tokens and variants."""
-    if tuple(variants) != tuple(S.VARIANT_WEIGHTS):
-        qtokens = qtokens.where(F.col("variant").isin(*variants))
-    hits, weights = _match(index, qtokens, fields, fits(qtokens))
     term = scoring.bm25_term(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
     if weighted:
         term = F.col("weight") * term
     return (
-        hits.join(weights, ["field", "variant", "token"])
+        matched.hits.join(matched.weights, ["field", "variant", "token"])
         .groupBy("query_id", "field", "item_id")
         .agg(scoring.settled(F.sum(term)).alias("score"))
     )
 
 
 def exact_match_scores(
-    index: LexicalIndex,
-    qtokens: DataFrame,
+    matched: Matched,
     fields=tuple(S.FIELD_WEIGHTS),
     k1: float = S.BM25_K1,
     b: float = S.BM25_B,
@@ -200,18 +194,16 @@ def exact_match_scores(
     A token the field does not hold adds a constant. A field without any text scores every token
     that way unless ``skip_empty_fields`` is set.
     """
-    _, weights = _match(index, qtokens, fields, fits(qtokens))
-    known = weights.select("field", "variant", "token", "idf", "avgdl").distinct()
-    lengths = qtokens.groupBy("query_id", "variant").agg((F.count("*") + extra_tokens).alias("dl"))
-    asked = qtokens.join(lengths, ["query_id", "variant"]).withColumn(
+    known = matched.weights.select("query_id", "field", "variant", "token", "idf", "avgdl")
+    lengths = matched.qtokens.groupBy("query_id", "variant").agg((F.count("*") + extra_tokens).alias("dl"))
+    asked = matched.qtokens.join(lengths, ["query_id", "variant"]).withColumn(
         "field", F.explode(F.array(*[F.lit(f) for f in fields]))
     )
     if skip_empty_fields:
-        filled = index.doc_stats.select("field").distinct()
-        asked = asked.join(F.broadcast(filled), "field", "left_semi")
+        asked = asked.join(F.broadcast(matched.filled), "field", "left_semi")  # one row per field
     one_hit = scoring.bm25_term(F.col("idf"), F.lit(1.0), F.col("dl"), F.col("avgdl"), k1, b)
     return (
-        asked.join(known, ["field", "variant", "token"], "left")
+        asked.join(known, ["query_id", "field", "variant", "token"], "left")
         .withColumn("part", _variant_weight() * F.when(F.col("idf").isNull(), missing_score).otherwise(one_hit))
         .groupBy("query_id", "field")
         .agg(scoring.settled(F.sum("part")).alias("exact_match"))

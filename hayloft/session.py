@@ -24,6 +24,7 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
@@ -52,6 +53,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if fits(df, max_rows) else df
 
 
+def pinned(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
+    """A small table fetched once, so that a plan reading it many times does not derive it many times.
+
+    Spark knows the exact size of the result and broadcasts it by its own threshold. A table with
+    more than ``max_rows`` rows stays as it is; no more than one row beyond is ever fetched.
+    """
+    head = df.limit(max_rows + 1).toArrow()
+    return df if head.num_rows > max_rows else df.sparkSession.createDataFrame(head, schema=df.schema)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a few large splits to all cores before per-row work that dwarfs the scan.
 

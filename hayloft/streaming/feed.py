@@ -118,7 +118,18 @@ def _release_frame(rows: list[tuple]) -> pd.DataFrame:
     return frame.astype({"seq": "int64"}).assign(ready_at=pd.to_datetime(frame["ready_at"], unit="us"))
 
 
-_STATE = "pending_at long, pending_seq long, opened boolean, closed boolean"
+_STATE = "pending_at long, pending_seq long, opened boolean, closed boolean"  # -1: nothing pending
+
+
+def _to_state(watch: Watch) -> tuple:
+    pending = (-1, -1) if watch.pending_at is None else (watch.pending_at, watch.pending_seq)
+    return (*pending, watch.opened, watch.closed)
+
+
+def _from_state(stored: tuple) -> Watch:
+    at, seq, opened, closed = stored
+    pending = (None, None) if seq == -1 else (int(at), int(seq))
+    return Watch(*pending, bool(opened), bool(closed))
 
 
 def ready_stream(normalized: DataFrame, delay: str = "5 seconds", legacy: bool = False) -> DataFrame:
@@ -129,7 +140,7 @@ def ready_stream(normalized: DataFrame, delay: str = "5 seconds", legacy: bool =
     """
 
     def track(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        watch = Watch(*state.get) if state.exists else Watch()
+        watch = _from_state(state.get) if state.exists else Watch()
         rows: list[tuple] = []
         if state.hasTimedOut:
             due = watch.deadline()
@@ -147,7 +158,7 @@ def ready_stream(normalized: DataFrame, delay: str = "5 seconds", legacy: bool =
         if watch == Watch():
             state.remove()
         else:
-            state.update((watch.pending_at, watch.pending_seq, watch.opened, watch.closed))
+            state.update(_to_state(watch))
             due = watch.deadline()
             if due is not None:
                 state.setTimeoutTimestamp(max(due // 1000, state.getCurrentWatermarkMs() + 1))

@@ -19,12 +19,16 @@ def asked(spark, sf):
     return lexical.query_tokens(v.base_queries(spark, sf))
 
 
-def fields(spark, sf, **options):
-    return lexical.bm25_fields(index(spark, sf), asked(spark, sf), **options)
+def matched(spark, sf, fields=S.TEXT_FIELDS, variants=tuple(S.VARIANT_WEIGHTS)):
+    return lexical.match(index(spark, sf), asked(spark, sf).where(F.col("variant").isin(*variants)), fields)
+
+
+def fields(spark, sf, fields=S.TEXT_FIELDS):
+    return lexical.bm25_fields(matched(spark, sf, fields))
 
 
 def exact(spark, sf):
-    return lexical.exact_match_scores(index(spark, sf), asked(spark, sf))
+    return lexical.exact_match_scores(matched(spark, sf, tuple(S.FIELD_WEIGHTS)))
 
 
 @query("p9_indexable_texts", v.sql("select item_id, field, text from texts", "texts"))
@@ -88,7 +92,7 @@ def token_lookup(spark, sf):
     ),
 )
 def bm25_one_variant(spark, sf):
-    return shown(fields(spark, sf, variants=("original",), weighted=False))
+    return shown(lexical.bm25_fields(matched(spark, sf, variants=("original",)), weighted=False))
 
 
 @query("l2_bm25_fields", v.sql("select query_id, field, item_id, round(score, 6) as score from bm25", "bm25"))

@@ -20,8 +20,15 @@ MARKERS = (
 )
 
 
+_tables: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table; its footer is read once per session, its rows every time."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _tables:
+        _tables[key] = spark.read.parquet(f"{sf}/{name}.parquet")
+    return _tables[key]
 
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
