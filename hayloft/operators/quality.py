@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hayloft import schemas as S
 from hayloft.functions import text
@@ -32,7 +33,7 @@ def _word_distance(ref: list[str], hyp: list[str]) -> int:
     return int(row[-1])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _big_word_distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series([None if r is None else _word_distance(list(r), list(h)) for r, h in zip(ref, hyp)], dtype="Int64")
 

@@ -151,7 +151,7 @@ def changes(spark: SparkSession, sf: str) -> DataFrame:
     path = lambda n: F.concat(F.lit("/media/f"), n.cast("string"))
     return events.select(
         F.col("event_id").alias("seq"),
-        F.timestamp_millis(F.col("event_id") * 20).alias("ts"),
+        F.timestamp_millis(F.lit(1_704_067_200_000) + F.col("event_id") * 20).alias("ts"),
         op.alias("op"),
         path(F.col("user_id")).alias("path"),
         F.when(F.col("event_type") == "error", F.concat(F.when(F.col("value") > 30, "/other").otherwise("/media"), F.lit("/f"), (F.col("user_id") + 1).cast("string"))).alias("dest_path"),
@@ -424,7 +424,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "changes": (
         (),
-        """select event_id as seq, event_id * 20000 as at_us,
+        """select event_id as seq, 1704067200000000 + event_id * 20000 as at_us,
              case event_type when 'signup' then 'created' when 'view' then 'opened' when 'click' then 'closed' when 'purchase' then 'deleted' else 'moved' end as op,
              '/media/f' || user_id as path,
              case when event_type = 'error' then case when value > 30 then '/other' else '/media' end || '/f' || (user_id + 1) end as dest_path
