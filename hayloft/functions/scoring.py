@@ -12,17 +12,19 @@ RANK_DIGITS = 9
 
 
 def settled(score: Column) -> Column:
-    return F.round(score, RANK_DIGITS)
+    """Score cut to nine digits by plain double arithmetic (``round`` goes through decimals); no -0.0."""
+    scale = 10.0**RANK_DIGITS
+    return F.rint(score * scale) / scale + 0.0
 
 
 def idf(n_items: Column, df: Column) -> Column:
     return F.ln((n_items - df + 0.5) / (df + 0.5) + 1.0)
 
 
-def bm25_term(idf_: Column, tf: Column, dl: Column, avgdl: Column, k1: float = S.BM25_K1, b: float = S.BM25_B) -> Column:
-    """Contribution of one token to one text; an empty index (avgdl 0) has no texts to score."""
+def bm25_saturation(tf: Column, dl: Column, avgdl: Column, k1: float = S.BM25_K1, b: float = S.BM25_B) -> Column:
+    """BM25 share of one token in one text, before idf; an empty index (avgdl 0) has no texts to score."""
     length_norm = F.lit(1.0 - b) + F.lit(b) * F.try_divide(dl.cast("double"), avgdl)
-    return idf_ * (tf * (k1 + 1.0)) / (tf + k1 * length_norm)
+    return tf * (k1 + 1.0) / (tf + k1 * length_norm)
 
 
 def lexical_confidence(score: Column, exact_match: Column) -> Column:
@@ -37,11 +39,6 @@ def range_confidence(score: Column, low: Column | float, high: Column | float) -
     return F.when(score > high, 1.0).otherwise(F.least(F.lit(1.0), ramp))
 
 
-def zero_confidence_below(low: float, high: float) -> float:
-    """Scores up to this value have confidence 0 under ``range_confidence``."""
-    return low - 0.5 * (high - low)
-
-
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision, without leaving the JVM."""
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,8 +99,7 @@ def weighted_sum(results: DataFrame, weights: Mapping[str, float], list_col: str
 
 
 def weight_of(weights: Mapping[str, float], list_col: str) -> Column:
-    pairs = [F.lit(x) for name, w in weights.items() for x in (name, float(w))]
-    return F.element_at(F.create_map(*pairs), F.col(list_col))
+    return reduce(lambda acc, kv: acc.when(F.col(list_col) == kv[0], float(kv[1])), weights.items(), F)
 
 
 def reciprocal_rank(

@@ -1,17 +1,18 @@
 """Inverted index and BM25 over several text fields, each in original and lemma form.
 
 Shapes: ``texts(item_id, field, text)`` -> ``postings(field, variant, token, item_id, tf, dl)`` and
-``doc_stats(field, variant, item_id, dl)``. Token and corpus statistics are derived when a query
-batch is scored, so postings never carry numbers that another file's change would make stale.
+``doc_stats(field, variant, item_id, dl)``. Inverse frequencies and average lengths are derived when a
+query batch is scored, so postings never carry numbers that another file's change would make stale.
 
-Scoring first drops postings of tokens nobody asked for. The semi join on the query vocabulary is
-pushed below the term-frequency aggregate by Catalyst, so only matching tokens are ever shuffled.
-The item length travels inside the posting, which saves the join of postings with item lengths.
+Texts are dealt to tasks by item once; all counting and scoring of an item then happens where its
+text is, without another shuffle. Scoring drops postings of tokens nobody asked for first. The item
+length travels inside the posting, which saves the join of postings with item lengths.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -23,8 +24,9 @@ from hayloft.session import broadcast_if_small, fits
 
 
 class LexicalIndex(NamedTuple):
-    postings: DataFrame
-    doc_stats: DataFrame
+    postings: DataFrame  # field, variant, token, item_id, tf, dl
+    doc_stats: DataFrame  # field, variant, item_id, dl
+    token_stats: DataFrame | None = None  # field, variant, token, df; counted from the postings when not stored
 
 
 # field -> (text column, analysed flag or None, stored lemma column)
@@ -80,7 +82,9 @@ def lemmatize_by_table(texts: DataFrame, lemma_table: DataFrame) -> DataFrame:
 
 
 def build_index(texts: DataFrame, lemmatize: Callable[[Column], Column] = text.plain_stem) -> LexicalIndex:
-    toks = variant_tokens(texts, lemmatize).withColumn("dl", F.size("tokens").cast("long"))
+    # ids are unique per text, so no task gets more than its share; moving texts is cheaper than moving
+    # the tokens of both variants, and every later grouping that includes the item needs no exchange
+    toks = variant_tokens(texts.repartition("item_id"), lemmatize).withColumn("dl", F.size("tokens").cast("long"))
     postings = (
         toks.select("field", "variant", "item_id", "dl", F.explode("tokens").alias("token"))
         .groupBy("field", "variant", "token", "item_id", "dl")
@@ -138,45 +142,64 @@ def token_lookup(postings: DataFrame, qtokens: DataFrame) -> DataFrame:
     return postings.join(broadcast_if_small(qtokens), ["variant", "token"])
 
 
-def _variant_weight() -> Column:
-    weights = [x for name, w in S.VARIANT_WEIGHTS.items() for x in (F.lit(name), F.lit(w))]
-    return F.element_at(F.create_map(*weights), F.col("variant"))
+def _variant_weight(weights: dict[str, float]) -> Column:
+    return reduce(lambda acc, kv: acc.when(F.col("variant") == kv[0], float(kv[1])), weights.items(), F)
 
 
 class Matched(NamedTuple):
     """What a batch of queries finds in an index: read once for scores and exact-match scores alike."""
 
     qtokens: DataFrame  # query_id, variant, token
-    hits: DataFrame  # postings of the asked tokens
-    weights: DataFrame  # query_id, field, variant, token, weight, idf, avgdl
+    hits: DataFrame  # field, variant, token, item_id, share: BM25 share of the asked tokens, before idf
+    weights: DataFrame  # query_id, field, variant, token, weight (variant weight x idf), avgdl
     filled: DataFrame  # fields that hold any text
+    small: bool  # the query tokens passed the size check for broadcasts
 
 
-def match(index: LexicalIndex, qtokens: DataFrame, fields=S.TEXT_FIELDS) -> Matched:
+def match(
+    index: LexicalIndex,
+    qtokens: DataFrame,
+    fields=S.TEXT_FIELDS,
+    k1: float = S.BM25_K1,
+    b: float = S.BM25_B,
+    variant_weights: dict[str, float] = S.VARIANT_WEIGHTS,
+) -> Matched:
     """Postings and weights of the asked tokens.
 
     Vocabulary and weights hold at most one row per query token and field, so one size check of the
     query tokens decides all broadcasts; a larger batch is joined by shuffling.
     """
-    hint = F.broadcast if fits(qtokens) else (lambda df: df)
+    small = fits(qtokens)
+    hint = F.broadcast if small else (lambda df: df)
     vocabulary = qtokens.select("variant", "token").distinct()
     wanted = F.col("field").isin(*fields)
-    hits = index.postings.where(wanted).join(hint(vocabulary), ["variant", "token"], "left_semi")
+    asked = index.postings.where(wanted).join(hint(vocabulary), ["variant", "token"], "left_semi")
     doc_stats = index.doc_stats.where(wanted)
-    stats = idf_table(LexicalIndex(hits, doc_stats))
-    weights = stats.join(hint(qtokens), ["variant", "token"]).withColumn("weight", _variant_weight())
-    return Matched(hint(qtokens), hits, hint(weights), doc_stats.select("field").distinct())
+    sizes = F.broadcast(corpus_stats(doc_stats))  # at most fields x variants rows
+    counted = token_stats(asked) if index.token_stats is None else index.token_stats.where(wanted)
+    idfs = counted.join(sizes, ["field", "variant"]).select(
+        "field", "variant", "token", "avgdl", scoring.idf(F.col("n_items"), F.col("df")).alias("idf")
+    )
+    weights = idfs.join(hint(qtokens), ["variant", "token"]).select(
+        "query_id", "field", "variant", "token", "avgdl", (_variant_weight(variant_weights) * F.col("idf")).alias("weight")
+    )
+    share = scoring.bm25_saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
+    hits = asked.join(sizes, ["field", "variant"]).select("field", "variant", "token", "item_id", share.alias("share"))
+    return Matched(hint(qtokens), hits, hint(weights), doc_stats.select("field").distinct(), small)
+
 
+def bm25_fields(matched: Matched) -> DataFrame:
+    """(query_id, field, item_id, score): BM25 summed over distinct query tokens and variants.
 
-def bm25_fields(matched: Matched, k1: float = S.BM25_K1, b: float = S.BM25_B, weighted: bool = True) -> DataFrame:
-    """(query_id, field, item_id, score): BM25 summed over distinct query tokens and variants."""
-    term = scoring.bm25_term(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
-    if weighted:
-        term = F.col("weight") * term
+    Fields are numbered while millions of terms are summed, and named again in the result.
+    """
+    number = reduce(lambda acc, nf: acc.when(F.col("field") == nf[1], nf[0]), enumerate(S.TEXT_FIELDS), F)
+    name = reduce(lambda acc, nf: acc.when(F.col("_field") == nf[0], nf[1]), enumerate(S.TEXT_FIELDS), F)
     return (
-        matched.hits.join(matched.weights, ["field", "variant", "token"])
-        .groupBy("query_id", "field", "item_id")
-        .agg(scoring.settled(F.sum(term)).alias("score"))
+        matched.hits.join(matched.weights.withColumn("_field", number), ["field", "variant", "token"])
+        .groupBy("query_id", "_field", "item_id")
+        .agg(scoring.settled(F.sum(F.col("weight") * F.col("share"))).alias("score"))
+        .select("query_id", name.alias("field"), "item_id", "score")
     )
 
 
@@ -194,17 +217,18 @@ def exact_match_scores(
     A token the field does not hold adds a constant. A field without any text scores every token
     that way unless ``skip_empty_fields`` is set.
     """
-    known = matched.weights.select("query_id", "field", "variant", "token", "idf", "avgdl")
+    known = matched.weights.select("query_id", "field", "variant", "token", "weight", "avgdl")
     lengths = matched.qtokens.groupBy("query_id", "variant").agg((F.count("*") + extra_tokens).alias("dl"))
     asked = matched.qtokens.join(lengths, ["query_id", "variant"]).withColumn(
         "field", F.explode(F.array(*[F.lit(f) for f in fields]))
     )
     if skip_empty_fields:
         asked = asked.join(F.broadcast(matched.filled), "field", "left_semi")  # one row per field
-    one_hit = scoring.bm25_term(F.col("idf"), F.lit(1.0), F.col("dl"), F.col("avgdl"), k1, b)
+    one_hit = F.col("weight") * scoring.bm25_saturation(F.lit(1.0), F.col("dl"), F.col("avgdl"), k1, b)
+    missing = _variant_weight(S.VARIANT_WEIGHTS) * missing_score
     return (
         asked.join(known, ["query_id", "field", "variant", "token"], "left")
-        .withColumn("part", _variant_weight() * F.when(F.col("idf").isNull(), missing_score).otherwise(one_hit))
+        .withColumn("part", F.when(F.col("weight").isNull(), missing).otherwise(one_hit))
         .groupBy("query_id", "field")
         .agg(scoring.settled(F.sum("part")).alias("exact_match"))
     )

@@ -12,7 +12,6 @@ import math
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +22,7 @@ from hayloft.operators import fusion
 
 QUERY_MATRIX_ROWS = 20_000
 SLICE_ROWS = 20_000
+MULTI_KINDS = ("V",)  # video frames: several vectors per item
 _EMIT_ROWS = 500_000
 SCORES = "query_id long, kind string, item_id long, score double"
 _ARROW_SCORES = pa.schema(
@@ -36,7 +36,7 @@ def as_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
-def _reduce_block(items, sims, query_ids, kind, floor, k) -> Iterator[pa.RecordBatch]:
+def _reduce_block(items, sims, query_ids, kind, k) -> Iterator[pa.RecordBatch]:
     """One kind's block of similarities (vectors x queries) -> score rows, best frame per item."""
     order = np.argsort(items, kind="stable")
     items, starts = np.unique(items[order], return_index=True)
@@ -53,26 +53,18 @@ def _reduce_block(items, sims, query_ids, kind, floor, k) -> Iterator[pa.RecordB
         scores = np.take_along_axis(part, rows, axis=0)
         item_col, query_col = items[rows].ravel(), np.broadcast_to(ids, rows.shape).ravel()
         scores = scores.ravel()
-        if floor is not None:
-            keep = scores > floor
-            item_col, query_col, scores = item_col[keep], query_col[keep], scores[keep]
-        if len(scores):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(query_col), pa.array([kind] * len(scores)), pa.array(item_col), pa.array(scores)],
-                schema=_ARROW_SCORES,
-            )
+        kinds = pa.array([kind]).take(pa.array(np.zeros(len(scores), dtype=np.int32)))
+        yield pa.RecordBatch.from_arrays([pa.array(query_col), kinds, pa.array(item_col), pa.array(scores)], schema=_ARROW_SCORES)
 
 
-def _score_table(vec_batch, queries: Mapping[str, tuple[np.ndarray, np.ndarray]], floors, k) -> Iterator[pa.RecordBatch]:
+def _score_table(vec_batch, queries: Mapping[str, tuple[np.ndarray, np.ndarray]], k) -> Iterator[pa.RecordBatch]:
     kinds = np.asarray(vec_batch.column("kind").to_pylist(), dtype=object)
     items = vec_batch.column("item_id").to_numpy()
     matrix = as_matrix(vec_batch.column("vec")) if len(items) else None
     for kind, (query_ids, query_matrix) in queries.items():
         rows = np.flatnonzero(kinds == kind)
         if len(rows) and len(query_ids):
-            yield from _reduce_block(
-                items[rows], matrix[rows] @ query_matrix.T, query_ids, kind, (floors or {}).get(kind), k
-            )
+            yield from _reduce_block(items[rows], matrix[rows] @ query_matrix.T, query_ids, kind, k)
 
 
 def _by_kind(queries: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
@@ -91,35 +83,39 @@ def similarity(
     vectors: DataFrame,
     queries: DataFrame,
     k: int | None = None,
-    floors: Mapping[str, float] | None = None,
+    multi: Sequence[str] = MULTI_KINDS,
+    merge: bool = True,
     matrix_rows: int = QUERY_MATRIX_ROWS,
 ) -> DataFrame:
     """(query_id, kind, item_id, score): inner product of each query with each vector of its kind.
 
-    ``queries(query_id, kind, vec)``. An item with several vectors of a kind gets its best one. ``k``
-    keeps the k best items per query and kind; ``None`` keeps all, and then ``floors`` may name a
-    score per kind at or below which a row is of no use to the caller.
+    ``queries(query_id, kind, vec)``. An item with several vectors of a kind (``multi``) gets its best
+    one; kinds with one vector per item need no grouping for that. ``k`` keeps the k best items per
+    query and kind, ``None`` keeps all. With ``merge=False`` an item of a multi-vector kind may come
+    in several rows, for a caller that takes the maximum anyway.
     """
     vectors = vectors.where("vec is not null").select("item_id", "kind", "vec")
     queries = queries.where("vec is not null").select("query_id", "kind", "vec")
     head = queries.limit(matrix_rows + 1).toArrow()  # bounded: one row above the limit at most
     if head.num_rows <= matrix_rows:
-        shipped = vectors.sparkSession.sparkContext.broadcast(_by_kind(head))
+        by_kind = _by_kind(head)
+        if not by_kind:
+            return vectors.sparkSession.createDataFrame([], SCORES)
+        shipped = vectors.sparkSession.sparkContext.broadcast(by_kind)
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield from _score_table(batch, shipped.value, floors, k)
+                yield from _score_table(batch, shipped.value, k)
 
-        partial = vectors.where(F.col("kind").isin(*shipped.value)).mapInArrow(score, SCORES) if head.num_rows else None
-        if partial is None:
-            return vectors.sparkSession.createDataFrame([], SCORES)
+        partial = vectors.where(F.col("kind").isin(*by_kind)).mapInArrow(score, SCORES)
+        merge = merge and bool(set(multi) & set(by_kind))
     else:
-        partial = _blocked_scores(vectors, queries, k, floors, matrix_rows)
-    merged = partial.groupBy("query_id", "kind", "item_id").agg(F.max("score").alias("score"))
+        partial = _blocked_scores(vectors, queries, k, matrix_rows)
+    merged = partial.groupBy("query_id", "kind", "item_id").agg(F.max("score").alias("score")) if merge else partial
     return merged if k is None else fusion.rank(merged, ("query_id", "kind"), limit=k).drop("rank")
 
 
-def _blocked_scores(vectors: DataFrame, queries: DataFrame, k, floors, block_rows: int) -> DataFrame:
+def _blocked_scores(vectors: DataFrame, queries: DataFrame, k, block_rows: int) -> DataFrame:
     """Query blocks x vector slices as an equi-join on (block, slice); both sides of a group are bounded.
 
     Rows are dealt by a hash of their own identity, so no item, query or kind can make a group hot.
@@ -134,15 +130,15 @@ def _blocked_scores(vectors: DataFrame, queries: DataFrame, k, floors, block_row
     v, q = v.withColumn("block", blocks), q.withColumn("slice", slices)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(_score_table(left, _by_kind(right), floors, k), schema=_ARROW_SCORES)
+        return pa.Table.from_batches(_score_table(left, _by_kind(right), k), schema=_ARROW_SCORES)
 
     return v.groupBy("block", "slice").cogroup(q.groupBy("block", "slice")).applyInArrow(score, SCORES)
 
 
-def search_kinds(vectors: DataFrame, queries: DataFrame, kinds: Sequence[str], k: int | None = None, floors=None) -> DataFrame:
+def search_kinds(vectors: DataFrame, queries: DataFrame, kinds: Sequence[str], k: int | None = None) -> DataFrame:
     """``similarity`` of one vector per query against several kinds of vectors."""
     asked = queries.withColumn("kind", F.explode(F.array(*[F.lit(x) for x in kinds])))
-    return similarity(vectors, asked, k, floors)
+    return similarity(vectors, asked, k)
 
 
 def combined(vectors: DataFrame, queries: DataFrame, weights: Mapping[str, float], k: int | None = None) -> DataFrame:
@@ -151,17 +147,6 @@ def combined(vectors: DataFrame, queries: DataFrame, weights: Mapping[str, float
     return fusion.max_weighted(search_kinds(vectors, queries, list(used), k), used, "kind")
 
 
-def useful_floor(weights: Mapping[str, float], zero_below: float) -> dict[str, float]:
-    """Per kind the score at or below which a row cannot change any item above ``zero_below``.
-
-    An item counts when the score of its greatest-weighted kind exceeds ``zero_below``. A row of kind
-    x can be that score or beat it only if w_x * s > min(w) * zero_below; others may be dropped
-    unread. Needs zero_below > 0.
-    """
-    least = min(weights.values())
-    return {kind: zero_below * least / w for kind, w in weights.items()}
-
-
 # --- embedding store ------------------------------------------------------------------------------
 
 

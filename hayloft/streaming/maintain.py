@@ -49,7 +49,7 @@ class LiveTables:
     def index(self) -> lexical.LexicalIndex:
         """Current index: base postings plus signed changes."""
         base = lexical.build_index(lexical.indexable_texts(self.base_files), self.lemmatize)
-        signed = [t.withColumn("sign", F.lit(1)).withColumn("batch", F.lit(0).cast("int")) for t in base]
+        signed = [t.withColumn("sign", F.lit(1)).withColumn("batch", F.lit(0).cast("int")) for t in (base.postings, base.doc_stats)]
         delta = [self._changes(name, like, None).drop("batch") for name, like in zip(("postings", "doc_stats"), signed)]
         return lexical.apply_delta(base, lexical.LexicalIndex(*delta))
 

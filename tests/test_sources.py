@@ -66,7 +66,21 @@ def test_token_filter_reaches_the_postings_scan(spark, tmp_path):
     tables.write_index(lexical.build_index(lexical.indexable_texts(frame(spark, catalog_rows(10)))), str(tmp_path))
     postings = tables.read_index(spark, str(tmp_path)).postings.where("field = 'description' and token = 'cat'")
     plan = postings._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(token,cat)" in plan and "PartitionFilters: [isnotnull(field" in plan
+    assert "EqualTo(token,cat)" in plan and "EqualTo(field,description)" in plan
+
+
+def test_stored_statistics_score_alike(spark, tmp_path):
+    index = lexical.build_index(lexical.indexable_texts(frame(spark, catalog_rows(30))))
+    tables.write_index(index, str(tmp_path))
+    tokens = lexical.query_tokens(spark.createDataFrame([(1, "a cat runs"), (2, "t1 dogs")], "query_id long, query_text string"))
+    fresh = lexical.bm25_fields(lexical.match(index, tokens))
+    stored = lexical.bm25_fields(lexical.match(tables.read_index(spark, str(tmp_path)), tokens))
+    assert fresh.count() > 0 and fresh.exceptAll(stored).count() == 0
+
+
+def test_counting_an_item_needs_no_second_shuffle(spark):
+    plan = lexical.build_index(lexical.indexable_texts(frame(spark, catalog_rows(30)))).postings._jdf.queryExecution().executedPlan()
+    assert plan.toString().count("Exchange hashpartitioning") == 1
 
 
 def test_dense_numbers(spark):

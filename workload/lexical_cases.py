@@ -19,8 +19,8 @@ def asked(spark, sf):
     return lexical.query_tokens(v.base_queries(spark, sf))
 
 
-def matched(spark, sf, fields=S.TEXT_FIELDS, variants=tuple(S.VARIANT_WEIGHTS)):
-    return lexical.match(index(spark, sf), asked(spark, sf).where(F.col("variant").isin(*variants)), fields)
+def matched(spark, sf, fields=S.TEXT_FIELDS, **options):
+    return lexical.match(index(spark, sf), asked(spark, sf), fields, **options)
 
 
 def fields(spark, sf, fields=S.TEXT_FIELDS):
@@ -92,7 +92,8 @@ def token_lookup(spark, sf):
     ),
 )
 def bm25_one_variant(spark, sf):
-    return shown(lexical.bm25_fields(matched(spark, sf, variants=("original",)), weighted=False))
+    one = asked(spark, sf).where("variant = 'original'")
+    return shown(lexical.bm25_fields(lexical.match(index(spark, sf), one, variant_weights={"original": 1.0})))
 
 
 @query("l2_bm25_fields", v.sql("select query_id, field, item_id, round(score, 6) as score from bm25", "bm25"))
