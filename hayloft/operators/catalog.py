@@ -183,22 +183,9 @@ def default_positions(files: DataFrame) -> DataFrame:
 
 def position_of(files: DataFrame, file_id: int) -> DataFrame:
     """Place of one file in the default order as a count; an unknown id has place 0."""
-    me = F.broadcast(by_id(files, file_id).select(F.col("added_at").alias("my_time"), F.lit(1).alias("_one")))
-    newer = (F.col("added_at") > F.col("my_time")) | ((F.col("added_at") == F.col("my_time")) & (F.col("id") > file_id))
-    return (
-        files.select("id", "added_at", F.lit(1).alias("_one"))
-        .join(me, "_one", "left")
-        .agg(F.coalesce(F.sum(F.when(newer, 1).otherwise(0)), F.lit(0)).cast("long").alias("position"))
-    )
-
-
-def result_pages(ranked: DataFrame, offset: int, limit: int | None) -> DataFrame:
-    """Rows of the wanted page of every query's ranked list with ``total``, the length of the list."""
-    total = ranked.groupBy("query_id").agg(F.count("*").alias("total"))
-    rows = ranked.where(F.col("rank") > offset)
-    if limit is not None and limit >= 0:
-        rows = rows.where(F.col("rank") <= offset + limit)
-    return rows.join(total, "query_id")
+    mine = by_id(files, file_id).select("added_at").scalar()  # ids are unique: one value or none
+    newer = (F.col("added_at") > mine) | ((F.col("added_at") == mine) & (F.col("id") > file_id))
+    return files.where(newer).agg(F.count("*").alias("position"))
 
 
 def latest_per_key(log: DataFrame, keys: Iterable[str], order: str = "seq") -> DataFrame:

@@ -117,9 +117,14 @@ def idf_table(index: LexicalIndex) -> DataFrame:
     )
 
 
-def inverted_sets(postings: DataFrame) -> DataFrame:
-    """Token -> sorted items. For reports: a frequent token's list is one row; scoring never uses it."""
-    return postings.groupBy("field", "variant", "token").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+def inverted_sets(postings: DataFrame, span: int = 100_000) -> DataFrame:
+    """(field, variant, token, part, items): the sorted items of a token, for reports.
+
+    A frequent token's items come in parts, one per ``span`` of item ids, so that no row or task
+    holds a list that grows with the collection. Scoring reads postings, never these sets.
+    """
+    parts = postings.withColumn("part", F.floor(F.col("item_id") / span))
+    return parts.groupBy("field", "variant", "token", "part").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
 
 
 def query_tokens(
@@ -249,13 +254,18 @@ def signed_postings(old_texts: DataFrame, new_texts: DataFrame, lemmatize=text.p
 
 
 def apply_delta(index: LexicalIndex, delta: LexicalIndex) -> LexicalIndex:
-    """Index after a signed change; rows that cancel out disappear."""
+    """Index after a signed change; rows that cancel out disappear.
 
-    def merged(base: DataFrame, change: DataFrame, keys: list[str]) -> DataFrame:
-        rows = base.withColumn("sign", F.lit(1)).unionByName(change)
-        return rows.groupBy(*keys).agg(F.sum("sign").alias("n")).where("n > 0").drop("n")
+    Only texts named by the change are summed up again; the rest of the index is passed on by an
+    anti join against the changed (field, item) pairs, which are broadcast while they are few.
+    """
+    key = ["field", "item_id"]
+    touched = broadcast_if_small(delta.doc_stats.select(*key).distinct())
 
-    return LexicalIndex(
-        merged(index.postings, delta.postings, ["field", "variant", "token", "item_id", "tf", "dl"]),
-        merged(index.doc_stats, delta.doc_stats, ["field", "variant", "item_id", "dl"]),
-    )
+    def merged(base: DataFrame, change: DataFrame) -> DataFrame:
+        columns = base.columns
+        old = base.join(touched, key, "left_semi").withColumn("sign", F.lit(1))
+        net = old.unionByName(change).groupBy(*columns).agg(F.sum("sign").alias("n")).where("n > 0")
+        return base.join(touched, key, "left_anti").select(*columns).unionByName(net.select(*columns))
+
+    return LexicalIndex(merged(index.postings, delta.postings), merged(index.doc_stats, delta.doc_stats))

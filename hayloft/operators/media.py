@@ -133,17 +133,17 @@ def collapse_frames(frames: DataFrame, blank: str, span: int = 4096) -> DataFram
 
     ``frames(utt, t, token, prob)`` with consecutive ``t``. A run of one frame ends one step after its
     start, a longer one at the index of its last frame; the probability is averaged over
-    [start, end). Frames are cut into stretches of ``span`` steps so that one long recording is
-    worked on by many tasks: a stretch finds its own runs, and only runs that touch a stretch border
-    are joined across stretches.
+    [start, end). Frames are cut into stretches of ``span`` steps, each worked on by itself, so that
+    one recording with a third of all frames keeps many tasks busy. A run that crosses a border
+    belongs to the stretch it starts in; that is settled on one summary row per stretch.
     """
-    cut = frames.withColumn("_stretch", F.floor(F.col("t") / span))
-    inside = Window.partitionBy("utt", "_stretch").orderBy("t")
-    marked = cut.withColumn("_new", (~F.col("token").eqNullSafe(F.lag("token").over(inside))).cast("int"))
-    # runs of a stretch, blanks included: a blank stretch still separates its neighbours
+    inside = Window.partitionBy("utt", "stretch").orderBy("t")
+    fresh = (~F.col("token").eqNullSafe(F.lag("token").over(inside))).cast("int")
     local = (
-        marked.withColumn("_run", F.sum("_new").over(inside))
-        .groupBy("utt", "_stretch", "_run", "token")
+        frames.withColumn("stretch", F.floor(F.col("t") / span))
+        .withColumn("_new", fresh)
+        .withColumn("run", F.sum("_new").over(inside))
+        .groupBy("utt", "stretch", "run", "token")
         .agg(
             F.min("t").alias("start_t"),
             F.max("t").alias("last_t"),
@@ -151,12 +151,12 @@ def collapse_frames(frames: DataFrame, blank: str, span: int = 4096) -> DataFram
             F.max_by("prob", "t").alias("_last_prob"),
         )
     )
-    # far fewer rows from here on: one per run
-    across = Window.partitionBy("utt").orderBy("start_t")
+    owned = local.join(_border_owners(local), ["utt", "stretch"])
+    crosses = (F.col("run") == 1) & F.col("owner_stretch").isNotNull()
     runs = (
-        local.withColumn("_new", (~F.col("token").eqNullSafe(F.lag("token").over(across))).cast("int"))
-        .withColumn("_run", F.sum("_new").over(across))
-        .groupBy("utt", "_run", "token")
+        owned.withColumn("stretch", F.when(crosses, F.col("owner_stretch")).otherwise(F.col("stretch")))
+        .withColumn("run", F.when(crosses, F.col("owner_run")).otherwise(F.col("run")))
+        .groupBy("utt", "stretch", "run", "token")
         .agg(
             F.min("start_t").alias("start_t"),
             F.max("last_t").alias("last_t"),
@@ -165,11 +165,15 @@ def collapse_frames(frames: DataFrame, blank: str, span: int = 4096) -> DataFram
         )
         .where(F.col("token") != blank)
     )
+    before = Window.partitionBy("utt").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    counts = runs.groupBy("utt", "stretch").agg(F.count("*").alias("_n"))
+    offsets = counts.select("utt", "stretch", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("utt", "stretch").orderBy("start_t"))
     alone = F.col("start_t") == F.col("last_t")
     length = F.col("last_t") - F.col("start_t")
-    return runs.select(
+    return runs.join(offsets, ["utt", "stretch"]).select(
         "utt",
-        F.row_number().over(Window.partitionBy("utt").orderBy("start_t")).alias("pos"),
+        (F.col("_before") + place).alias("pos"),
         "token",
         "start_t",
         F.when(alone, F.col("start_t") + 1).otherwise(F.col("last_t")).alias("end_t"),
@@ -177,6 +181,23 @@ def collapse_frames(frames: DataFrame, blank: str, span: int = 4096) -> DataFram
     )
 
 
+def _border_owners(local: DataFrame) -> DataFrame:
+    """(utt, stretch, owner_stretch, owner_run): the run that the stretch's first run continues, if any.
+
+    A stretch that is one run from end to end passes the question on to the stretch before it.
+    """
+    ends = local.groupBy("utt", "stretch").agg(
+        F.min_by("token", "run").alias("first"), F.max_by("token", "run").alias("last"), F.max("run").alias("n_runs")
+    )
+    along = Window.partitionBy("utt").orderBy("stretch")
+    continues = F.col("first").eqNullSafe(F.lag("last").over(along)) & (F.lag("stretch").over(along) == F.col("stretch") - 1)
+    marked = ends.withColumn("continues", F.coalesce(continues, F.lit(False)))
+    starts_last_run = F.when(~F.col("continues") | (F.col("n_runs") > 1), F.struct("stretch", "n_runs"))
+    owner = F.last(starts_last_run, ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    owner = F.when(F.col("continues"), owner)
+    return marked.select("utt", "stretch", owner["stretch"].alias("owner_stretch"), owner["n_runs"].alias("owner_run"))
+
+
 def utterances(collapsed: DataFrame, silence: str, special: tuple[str, ...] = (), ms: int = S.MS_PER_FRAME_STEP) -> DataFrame:
     """(utt, transcription, first_start_ms, last_end_ms, n_tokens, mean_prob) from collapsed tokens.
 

@@ -44,11 +44,11 @@ def postings(spark, sf):
 @query(
     "a2_inverted_sets",
     v.sql(
-        "select field, variant, token, string_agg(item_id::VARCHAR, ',' order by item_id) as items from postings group by all", "postings"
+        "select field, variant, token, item_id // 100 as part, string_agg(item_id::VARCHAR, ',' order by item_id) as items from postings group by all", "postings"
     ),
 )
 def inverted_sets(spark, sf):
-    sets = lexical.inverted_sets(index(spark, sf).postings)
+    sets = lexical.inverted_sets(index(spark, sf).postings, span=100)
     return sets.withColumn("items", F.array_join(F.col("items").cast("array<string>"), ","))
 
 
