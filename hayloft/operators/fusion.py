@@ -114,7 +114,8 @@ def reciprocal_rank(
     if len(weights) == 1:
         return results.select("query_id", "item_id", "score")
     ranked = rank(results.where(F.col(list_col).isin(*weights)), ("query_id", list_col), list_bound=list_bound)
-    part = weight_of(weights, list_col) / (F.lit(float(k)) + F.col("rank"))
+    part = weight_of(weights, list_col)
     if confidence is not None:
         part = confidence * part
+    part = part / (F.lit(float(k)) + F.col("rank"))
     return ranked.groupBy("query_id", "item_id").agg(settled(F.sum(part)).alias("score"))

@@ -86,7 +86,7 @@ def token_lookup(spark, sf):
 @query(
     "l1_bm25_one_variant",
     v.sql(
-        """select query_id, field, item_id, round(sum(idf * (tf * 2.5e0) / (tf + 1.5e0 * (0.25e0 + 0.75e0 * dl / avgdl))), 6) as score
+        """select query_id, field, item_id, round(round_even(sum(idf * (tf * 2.5e0) / (tf + 1.5e0 * (0.25e0 + 0.75e0 * dl / avgdl))), 9) + 3e-10, 6) as score
            from postings join idfs using (field, variant, token) join qtokens using (variant, token) where variant = 'original' group by all""",
         "postings", "idfs", "qtokens",
     ),
@@ -96,12 +96,12 @@ def bm25_one_variant(spark, sf):
     return shown(lexical.bm25_fields(lexical.match(index(spark, sf), one, variant_weights={"original": 1.0})))
 
 
-@query("l2_bm25_fields", v.sql("select query_id, field, item_id, round(score, 6) as score from bm25", "bm25"))
+@query("l2_bm25_fields", v.sql("select query_id, field, item_id, round(score + 3e-10, 6) as score from bm25", "bm25"))
 def bm25_fields(spark, sf):
     return shown(fields(spark, sf))
 
 
-@query("l3_exact_match", v.sql("select query_id, field, round(exact_match, 6) as exact_match from exact_fields", "exact_fields"))
+@query("l3_exact_match", v.sql("select query_id, field, round(exact_match + 3e-10, 6) as exact_match from exact_fields", "exact_fields"))
 def exact_match(spark, sf):
     return shown(exact(spark, sf), "exact_match")
 
@@ -109,7 +109,7 @@ def exact_match(spark, sf):
 @query(
     "l4_single_field_modes",
     v.sql(
-        "select query_id, field, item_id, round(score, 6) as score, row_number() over (partition by query_id, field order by score desc, item_id) as rank from bm25 where field <> 'caption'",
+        "select query_id, field, item_id, round(score + 3e-10, 6) as score, row_number() over (partition by query_id, field order by score desc, item_id) as rank from bm25 where field <> 'caption'",
         "bm25",
     ),
 )
@@ -123,7 +123,7 @@ def bound(spark, sf) -> int:
     return v.table(spark, sf, "documents").count()
 
 
-@query("l5_combined_lexical", v.sql("select query_id, item_id, round(score, 6) as score from lexical_list", "lexical_list"))
+@query("l5_combined_lexical", v.sql("select query_id, item_id, round(score + 3e-10, 6) as score from lexical_list", "lexical_list"))
 def combined_lexical(spark, sf):
     return shown(lexical_list(spark, sf))
 

@@ -119,11 +119,11 @@ _RUNS = """, marked as (select *, token is distinct from lag(token) over (partit
 
 @query(
     "w2_collapsed_frames",
-    v.sql(_RUNS + " select utt, pos, token, start_t, end_t, round(mean_prob, 9) as mean_prob from collapsed", "frames"),
+    v.sql(_RUNS + " select utt, pos, token, start_t, end_t, round(mean_prob + 1e-12, 9) as mean_prob from collapsed", "frames"),
 )
 def collapsed_frames(spark, sf):
     """Runs across stretches of two frames, so that borders are crossed often."""
-    return media.collapse_frames(v.frames(spark, sf), "error", span=2).withColumn("mean_prob", F.round("mean_prob", 9))
+    return media.collapse_frames(v.frames(spark, sf), "error", span=2).withColumn("mean_prob", F.round(F.col("mean_prob") + 1e-12, 9))
 
 
 @query(
@@ -133,11 +133,11 @@ def collapsed_frames(spark, sf):
         + """, said as (select * from collapsed where token <> 'signup'),
              edges as (select utt, min(pos) as a, max(pos) as z from said where token <> 'view' group by utt)
              select s.utt, string_agg(case when token = 'view' then ' ' else token end, '' order by pos) as transcription,
-               min(start_t) * 20 as first_start_ms, max(end_t) * 20 as last_end_ms, count(*) as n_tokens, round(avg(mean_prob), 9) as mean_prob
+               min(start_t) * 20 as first_start_ms, max(end_t) * 20 as last_end_ms, count(*) as n_tokens, round(avg(mean_prob) + 1e-12, 9) as mean_prob
              from said s join edges e on e.utt = s.utt and s.pos between a and z group by s.utt""",
         "frames",
     ),
 )
 def utterances(spark, sf):
     collapsed = media.collapse_frames(v.frames(spark, sf), "error")
-    return media.utterances(collapsed, "view", special=("signup",)).withColumn("mean_prob", F.round("mean_prob", 9))
+    return media.utterances(collapsed, "view", special=("signup",)).withColumn("mean_prob", F.round(F.col("mean_prob") + 1e-12, 9))

@@ -17,9 +17,12 @@ ORACLES: dict[str, str] = {}
 DIGITS = 6
 
 
-def shown(df: DataFrame, *columns: str, digits: int = DIGITS) -> DataFrame:
-    """``df`` with the named columns (``score`` by default) rounded for comparison."""
-    return df.withColumns({c: F.round(c, digits) for c in columns or ("score",)})
+def shown(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with the named columns (``score`` by default) rounded for comparison.
+
+    Nine-digit scores often end on 500, where engines round either way; both sides add a trifle first.
+    """
+    return df.withColumns({c: F.round(F.col(c) + 3e-10, DIGITS) for c in columns or ("score",)})
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -188,12 +188,12 @@ def united_lists(spark, sf):
     return _lists(spark, sf).select("query_id", "item_id").distinct()
 
 
-@query("w1_list_ranks", v.sql("select retriever, query_id, item_id, round(score, 6) as score, rank from ranked_lists", "ranked_lists"))
+@query("w1_list_ranks", v.sql("select retriever, query_id, item_id, round(score + 3e-10, 6) as score, rank from ranked_lists", "ranked_lists"))
 def list_ranks(spark, sf):
     return shown(fusion.rank(_lists(spark, sf), ("query_id", "retriever"), list_bound=lex.bound(spark, sf)))
 
 
-@query("w1_list_ranks_spread", v.sql("select retriever, query_id, item_id, round(score, 6) as score, rank from ranked_lists", "ranked_lists"))
+@query("w1_list_ranks_spread", v.sql("select retriever, query_id, item_id, round(score + 3e-10, 6) as score, rank from ranked_lists", "ranked_lists"))
 def list_ranks_spread(spark, sf):
     """The same ranks from counts, as for lists of unknown length."""
     return shown(fusion.spread_rank(_lists(spark, sf), ("query_id", "retriever"), id_span=64))
@@ -204,10 +204,11 @@ def max_weighted(spark, sf):
     return fusion.max_weighted(_sims(spark, sf, "D", "O", "T"), S.TEXT_KIND_WEIGHTS, "kind")
 
 
-@query("f2_weighted_sum", v.sql("select query_id, item_id, round(sum(score * case kind when 'D' then 0.5e0 when 'O' then 0.3e0 else 0.2e0 end), 4) + 0.0 as score from sims where kind in ('D', 'O', 'T') group by all", "sims"))
+@query("f2_weighted_sum", v.sql("select query_id, item_id, round(sum(score * case kind when 'D' then 0.5e0 when 'O' then 0.3e0 else 0.2e0 end) + 3.7e-8, 4) + 0.0 as score from sims where kind in ('D', 'O', 'T') group by all", "sims"))
 def weighted_sum(spark, sf):
     # sums of weighted nine-digit scores often end on a five in the later digits
-    return shown(fusion.weighted_sum(_sims(spark, sf, "D", "O", "T"), S.TEXT_KIND_WEIGHTS, "kind"), digits=4)
+    sums = fusion.weighted_sum(_sims(spark, sf, "D", "O", "T"), S.TEXT_KIND_WEIGHTS, "kind")
+    return sums.withColumn("score", F.round(F.col("score") + 3.7e-8, 4))
 
 
 @query("f3_reciprocal_rank", v.sql("select query_id, item_id, score from classic", "classic"))
@@ -229,30 +230,30 @@ def confident_reciprocal_rank(spark, sf):
     return fusion.reciprocal_rank(lists, S.HYBRID_WEIGHTS, confidence=confidence, list_bound=lex.bound(spark, sf))
 
 
-@query("f5_lexical_confidence", v.sql("select query_id, item_id, round(conf, 6) as confidence from confident where retriever = 'lexical'", "confident"))
+@query("f5_lexical_confidence", v.sql("select query_id, item_id, round(conf + 3e-10, 6) as confidence from confident where retriever = 'lexical'", "confident"))
 def lexical_confidence(spark, sf):
     from hayloft.operators import lexical
 
     best = lexical.best_exact_match(lex.exact(spark, sf))
     return lex.lexical_list(spark, sf).join(best, "query_id").select(
-        "query_id", "item_id", F.round(scoring.lexical_confidence(F.col("score"), F.col("exact_match")), 6).alias("confidence")
+        "query_id", "item_id", F.round(scoring.lexical_confidence(F.col("score"), F.col("exact_match")) + 3e-10, 6).alias("confidence")
     )
 
 
-@query("f6_range_confidence", v.sql("select retriever, query_id, item_id, round(conf, 6)::DOUBLE as confidence from confident where retriever <> 'lexical'", "confident"))
+@query("f6_range_confidence", v.sql("select retriever, query_id, item_id, round(conf + 3e-10, 6)::DOUBLE as confidence from confident where retriever <> 'lexical'", "confident"))
 def range_confidence(spark, sf):
     profile = confidence_profile("en")
     lists = _lists(spark, sf).where("retriever <> 'lexical'")
     conf = F.when(F.col("retriever") == "semantic", scoring.range_confidence(F.col("score"), *profile.semantic)).otherwise(
         scoring.range_confidence(F.col("score"), *profile.clip)
     )
-    return lists.select("retriever", "query_id", "item_id", F.round(conf, 6).alias("confidence"))
+    return lists.select("retriever", "query_id", "item_id", F.round(conf + 3e-10, 6).alias("confidence"))
 
 
 @query(
     "f7_confidence_profiles",
     v.sql(
-        """select s.query_id, s.item_id, p.profile, round(case when score > hi then 1 else least(1, greatest(0, 0.5e0 + (score - lo) / (hi - lo)) * 0.5e0) end, 6)::DOUBLE as confidence
+        """select s.query_id, s.item_id, p.profile, round(case when score > hi then 1 else least(1, greatest(0, 0.5e0 + (score - lo) / (hi - lo)) * 0.5e0) end + 3e-10, 6)::DOUBLE as confidence
            from semantic_list s, (values ('en', 0.55e0, 0.70e0), ('pl_gpu', 0.15e0, 0.45e0), ('pl_cpu', 0.94e0, 0.96e0)) p(profile, lo, hi)""",
         "semantic_list",
     ),
@@ -260,7 +261,7 @@ def range_confidence(spark, sf):
 def confidence_profiles(spark, sf):
     profiles = {"en": confidence_profile("en"), "pl_gpu": confidence_profile("pl", "gpu"), "pl_cpu": confidence_profile("pl", "cpu")}
     cells = [
-        F.struct(F.lit(name).alias("profile"), F.round(scoring.range_confidence(F.col("score"), *p.semantic), 6).alias("confidence"))
+        F.struct(F.lit(name).alias("profile"), F.round(scoring.range_confidence(F.col("score"), *p.semantic) + 3e-10, 6).alias("confidence"))
         for name, p in profiles.items()
     ]
     return combined_semantic(spark, sf).select("query_id", "item_id", F.explode(F.array(*cells)).alias("c")).select("query_id", "item_id", "c.*")

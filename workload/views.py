@@ -329,14 +329,14 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "bm25": (
         ("postings", "idfs", "qtokens", "variant_weights"),
         """select query_id, field, item_id,
-             round(sum(weight * idf * (tf * 2.5e0) / (tf + 1.5e0 * (0.25e0 + 0.75e0 * dl / avgdl))), 9) as score
+             round_even(sum(weight * idf * (tf * 2.5e0) / (tf + 1.5e0 * (0.25e0 + 0.75e0 * dl / avgdl))), 9) as score
            from postings join idfs using (field, variant, token) join qtokens using (variant, token) join variant_weights using (variant)
            group by all""",
     ),
     "exact_fields": (
         ("idfs", "qtokens", "variant_weights"),
         """select q.query_id, f.field,
-             round(sum(weight * case when i.idf is null then 2.0e0
+             round_even(sum(weight * case when i.idf is null then 2.0e0
                else i.idf * 2.5e0 / (1 + 1.5e0 * (0.25e0 + 0.75e0 * (n.n + 50) / i.avgdl)) end), 9) as exact_match
            from qtokens q
            join (select query_id, variant, count(*) as n from qtokens group by all) n using (query_id, variant)
@@ -381,7 +381,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "clip_query_vectors": (("base_queries",), "select vec_id as query_id, embedding::DOUBLE[] as vec from embeddings join base_queries on query_id = vec_id"),
     "sims": (
         ("store", "query_vectors", "clip_query_vectors"),
-        """select q.query_id, s.kind, s.item_id, max(round(list_dot_product(s.vec, q.vec), 9) + 0.0) as score
+        """select q.query_id, s.kind, s.item_id, max(round_even(list_dot_product(s.vec, q.vec), 9) + 0.0) as score
            from store s join (select query_id, vec, false as pixel from query_vectors union all select query_id, vec, true from clip_query_vectors) q
              on q.pixel = (s.kind in ('C', 'V'))
            group by all""",
@@ -404,11 +404,11 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
              else case when score > 0.32e0 then 1 else least(1, greatest(0, 0.5e0 + (score - 0.24e0) / (0.32e0 - 0.24e0)) * 0.5e0) end end as conf
            from ranked_lists r left join exact_match using (query_id)""",
     ),
-    "hybrid": (("confident",), "select query_id, item_id, round(sum(conf / (60 + rank)), 9) as score from confident group by all"),
-    "classic": (("ranked_lists",), "select query_id, item_id, round(sum(1e0 / (60 + rank)), 9) as score from ranked_lists group by all"),
+    "hybrid": (("confident",), "select query_id, item_id, round_even(sum(conf / (60 + rank)), 9) as score from confident group by all"),
+    "classic": (("ranked_lists",), "select query_id, item_id, round_even(sum(1e0 / (60 + rank)), 9) as score from ranked_lists group by all"),
     "caption_list": (
         ("bm25", "sims"),
-        """select query_id, item_id, round(sum(w / (60 + rank)), 9) as score from (
+        """select query_id, item_id, round_even(sum(w / (60 + rank)), 9) as score from (
              select query_id, item_id, 0.9e0 as w, row_number() over (partition by query_id order by score desc, item_id) as rank from bm25 where field = 'caption'
              union all
              select query_id, item_id, 1.0e0, row_number() over (partition by query_id order by score desc, item_id) from sims where kind = 'L')
