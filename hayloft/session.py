@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -25,6 +24,7 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="hayloft-"))
         .getOrCreate()
     )
 
@@ -32,15 +32,11 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder for state that must outlive a task: streaming checkpoints, staged tables.
 
-    On a cluster it lies in the shared folder named by ``spark.checkpoint.dir``. Only a local
-    session without that setting gets a temporary folder of this machine.
+    It lies in the shared folder named by ``spark.checkpoint.dir``, else in the warehouse; executors
+    reach both.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-    if spark.sparkContext.master.startswith("local"):
-        return os.path.join(tempfile.mkdtemp(prefix="hayloft-"), purpose)
-    raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
