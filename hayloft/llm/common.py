@@ -65,9 +65,12 @@ def spans(text: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]
         start = end
 
 
-def split_words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All words of a text column, and the row of each."""
-    lists = pc.ascii_split_whitespace(pc.fill_null(text, "").cast(pa.large_string()))
+def split_words(text: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """All words of a text column, with A-Z in lower case if asked, and the row of each."""
+    # a copy: kernels on lists made from a slice lose its offset
+    whole = text.take(pa.array(np.arange(len(text))))
+    whole = pc.fill_null(whole, "").cast(pa.large_string())
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(whole) if lower else whole)
     flat = pc.list_flatten(lists)
     rows = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
     full = pc.greater(pc.binary_length(flat), 0)

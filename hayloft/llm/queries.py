@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hayloft.llm import langid
+from hayloft.llm import jaccard_join, langid
 from hayloft.llm.common import table
 
 QUERIES = {}
@@ -34,3 +34,8 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", langid.held_out().alias("held_out"))
     model = langid.fit(docs.where(~F.col("held_out")), vocabulary("piece_bpe_32k.model"))
     return langid.detect(docs, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op8_jaccard_join")
+def jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_groups(table(spark, sf_dir, "documents"))
