@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hayloft.llm import jaccard_join, langid
+from hayloft.llm import decontaminate, jaccard_join, langid
 from hayloft.llm.common import table
 
 QUERIES = {}
@@ -39,3 +39,8 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_jaccard_join")
 def jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op5_decontaminate")
+def decontaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
