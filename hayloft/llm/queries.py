@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hayloft.llm import decontaminate, jaccard_join, langid
+from hayloft.llm import decontaminate, jaccard_join, langid, mixing
 from hayloft.llm.common import table
 
 QUERIES = {}
@@ -44,3 +44,28 @@ def jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_decontaminate")
 def decontaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# positions of the shuffled streams; the mix takes each stream's words up to its quota, round by round
+MIX_SQL = r"""
+with sizes as (select doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) as size from documents),
+totals as (select source, sum(size) as source_size from sizes group by source),
+weighted as (select *, (row_number() over (order by source nulls last) - 1) % 3 + 1 as weight from totals),
+levels as (select *, (sum(source_size) over () - coalesce(sum(3 * source_size) over (order by 3 * source_size / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))::double
+    / sum(weight) over (order by 3 * source_size / weight, source nulls last rows between current row and unbounded following) as level from weighted),
+shares as (select source, source_size, least((3 * source_size)::double, weight * max(level) over ()) as target from levels),
+quotas as (select *, least(3 * source_size, floor(target + 0.5)) as quota from shares),
+placed as (select s.doc_id, s.size, q.source_size, q.target, q.quota,
+    coalesce(sum(s.size) over (partition by s.source order by md5(coalesce(s.doc_id::varchar, '')), s.doc_id, s.size rows between unbounded preceding and 1 preceding), 0) as start
+    from sizes s join quotas q on s.source is not distinct from q.source)
+select doc_id, size::bigint as size, source_size::bigint as source_size, target,
+    (greatest(0, least(quota, start + size) - start) + greatest(0, least(quota, start + source_size + size) - start - source_size)
+    + greatest(0, least(quota, start + 2 * source_size + size) - start - 2 * source_size))::bigint as taken
+from placed
+"""
+
+
+@query("op1_mixing", MIX_SQL)
+def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.Mix(table(spark, sf_dir, "documents"), lambda totals: mixing.cycled(totals, 1, 2, 3))
+    return mix.taken().select("doc_id", "size", "source_size", "target", "taken")
