@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hayloft.llm import decontaminate, jaccard_join, langid, mixing
+from hayloft.llm import decontaminate, jaccard_join, langid, mixing, token_file
 from hayloft.llm.common import table
 
 QUERIES = {}
@@ -69,3 +69,8 @@ from placed
 def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.Mix(table(spark, sf_dir, "documents"), lambda totals: mixing.cycled(totals, 1, 2, 3))
     return mix.taken().select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op4_token_file")
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.written(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
