@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hayloft.llm import decontaminate, jaccard_join, langid, mixing, token_file
+from hayloft.llm import decontaminate, jaccard_join, langid, mixing, quality, token_file
 from hayloft.llm.common import table
 
 QUERIES = {}
@@ -74,3 +74,10 @@ def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_token_file")
 def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.written(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query("op2_quality")
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality.scored(docs, quality.ratios(docs, trusted))
