@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hayloft.llm import decontaminate, jaccard_join, langid, mixing, quality, token_file
-from hayloft.llm.common import table
+from hayloft.llm import chat_format, decontaminate, jaccard_join, langid, mixing, quality, token_file
+from hayloft.llm.common import stored, table
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +81,11 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return quality.scored(docs, quality.ratios(docs, trusted))
+
+
+@query("op6_chat_format")
+def chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)], conversations.schema)
+    return chat_format.digests(stored(chat_format.windows(conversations.unionByName(probe)), "windows"))
