@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hayloft.llm import chat_format, decontaminate, jaccard_join, langid, mixing, quality, token_file
+from hayloft.llm import chat_format, decontaminate, jaccard_join, langid, mixing, pii, quality, token_file
 from hayloft.llm.common import stored, table
 
 QUERIES = {}
@@ -89,3 +89,9 @@ def chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)], conversations.schema)
     return chat_format.digests(stored(chat_format.windows(conversations.unionByName(probe)), "windows"))
+
+
+@query("op9_pii")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find(docs, pii.train(pii.labelled_table(docs))).drop("text")
