@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hayloft.llm import chat_format, decontaminate, jaccard_join, langid, mixing, pii, quality, token_file
+from hayloft.llm import chat_format, decontaminate, jaccard_join, langid, lm_score, mixing, pii, quality, token_file, toxicity
 from hayloft.llm.common import stored, table
 
 QUERIES = {}
@@ -95,3 +95,29 @@ def chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.find(docs, pii.train(pii.labelled_table(docs))).drop("text")
+
+
+@query("op3_toxicity")
+def toxic_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    scored = toxicity.predict(docs, toxicity.train(docs, labels, ["low_quality", "toxic"])).drop("text")
+    return scored.withColumn("toxic", F.col("p_toxic") >= 0.3)
+
+
+LM_SQL = r"""
+with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+places as (select doc_id, ws, unnest(range(1, len(ws) + 1)) as i from w),
+t as (select doc_id, ws[i] as x, case when i > 1 then ws[i - 1] end as v from places),
+uni as (select x, count(*) as n from t group by x),
+bi as (select v, x, count(*) as n from t where v is not null group by v, x having count(*) >= 2),
+s as (select t.doc_id, case when bi.n is not null then ln(bi.n / c.n) else ln(0.4 * u.n / (select count(*) from t)) end as p
+    from t join uni u on t.x = u.x left join bi on bi.v = t.v and bi.x = t.x left join uni c on c.x = t.v)
+select w.doc_id, count(s.p)::bigint as n_words, round(sum(s.p) / count(s.p), 6) as score from w left join s on w.doc_id = s.doc_id group by w.doc_id
+"""
+
+
+@query("op7_lm_score", LM_SQL)
+def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.scores(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("score", 6).alias("score"))
