@@ -40,6 +40,7 @@ from hayloft.llm.components import components
 SHINGLE = 5
 BLOCK_ROWS, BLOCK_TOKENS = 64, 400_000
 NEAR, MIDDLE, FAR = 0, 1, 2
+BUCKET_TOKENS = 2_000_000  # tokens counted together, 16 MB
 
 
 def shingle_sets(text: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
@@ -85,11 +86,47 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(halves)), nodes.take(at), sizes.take(at)], ["token", "node", "n"])
 
 
-def _index_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
-        halves = [lower_half(s) for s in shingle_sets(batch.column("text"))]
-        tokens, counts = np.unique(np.concatenate(halves), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(counts)], ["token", "df"])
+def _token_parts(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            halves = [lower_half(s) for s in shingle_sets(batch.column("text"))]
+            tokens, counts = np.unique(np.concatenate(halves), return_counts=True)
+            bucket = (mixed(tokens.view(U64).copy()) >> U64(32)) * U64(buckets) >> U64(32)
+            order = np.argsort(bucket, kind="stable")
+            tokens, counts, bucket = tokens[order], counts[order], bucket[order]
+            names, starts = np.unique(bucket, return_index=True)
+            ends = np.append(starts[1:], len(tokens))
+            again = [a + np.flatnonzero(counts[a:b] > 1) for a, b in zip(starts, ends)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(names.astype(np.int64)),
+                    pa.array([tokens[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
+                    pa.array([tokens[x].tobytes() for x in again], pa.binary()),
+                    pa.array([(counts[x] - 1).astype(np.int64).tobytes() for x in again], pa.binary()),
+                ],
+                ["bucket", "tokens", "again", "more"],
+            )
+
+    return run
+
+
+def _frequencies(group: pa.Table) -> pa.Table:
+    """Tokens of a bucket that several documents have."""
+    tokens, again, more = (np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in group.column(c)]) for c in ("tokens", "again", "more"))
+    tokens, df = np.unique(tokens, return_counts=True)
+    np.add.at(df, np.searchsorted(tokens, again), more)
+    return pa.table({"token": tokens[df > 1], "df": df[df > 1].astype(np.int64)})
+
+
+def document_frequencies(texts: DataFrame, n_tokens: int) -> DataFrame:
+    """``(token, df)`` of the lower-half tokens that several rows have.
+
+    The tasks count their slices of the rows, so a frequent token is one entry for each slice, and pack
+    the tokens of a bucket into one value; buckets hold about ``BUCKET_TOKENS`` tokens at any size.
+    """
+    buckets = max(1, -(-n_tokens // BUCKET_TOKENS))
+    parts = texts.mapInArrow(_token_parts(buckets), "bucket long, tokens binary, again binary, more binary")
+    return parts.groupBy("bucket").applyInArrow(_frequencies, "token long, df long")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +227,7 @@ def class_links(docs: DataFrame, named: DataFrame) -> DataFrame:
     """Links ``(a, b)`` between classes that connect what the similarity connects."""
     texts = docs.where(F.col("text").isNotNull())
     only = texts.select("text")
-    common = only.mapInArrow(_index_tokens, "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).where("df > 1")
+    common = document_frequencies(only, named.agg(F.coalesce(F.sum((F.col("n") / 2).cast("long")), F.lit(0))).first()[0])
     index = only.mapInArrow(_index, "token long, node binary, n long")
     kept = index.join(common.hint("shuffle_hash"), "token")
     half = F.ceil(F.col("n") / 2)
