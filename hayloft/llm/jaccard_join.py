@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hayloft.llm.common import U64, coded, gram_hashes, hashes, keeping_ids, mixed, slices, split_words, stored
@@ -231,17 +231,15 @@ def class_links(docs: DataFrame, named: DataFrame) -> DataFrame:
     index = only.mapInArrow(_index, "token long, node binary, n long")
     kept = index.join(common.hint("shuffle_hash"), "token")
     half = F.ceil(F.col("n") / 2)
+    # the join has dealt the rows by token, so copies are dropped without another shuffle
+    distinct = kept.select("token", "node", "n", "df").distinct()
+    own = Window.partitionBy("node")
     entries = (
-        kept.groupBy("node", "n")
-        .agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("shared"))
-        .withColumn("take", half - F.greatest(F.lit(1), F.floor(F.col("n") / 4)) + 1 - (half - F.size("shared")))
-        .where("take > 0")
-        .select(
-            "node",
-            "n",
-            (F.aggregate("shared", F.lit(0.0), lambda s, x: s + F.log2(x["df"])) / half).alias("weight"),
-            F.explode(F.slice("shared", 1, F.col("take").cast("int"))["token"]).alias("token"),
-        )
+        distinct.withColumn("place", F.row_number().over(own.orderBy("df", "token")))
+        .withColumn("shared", F.count("*").over(own))
+        .withColumn("weight", F.sum(F.log2("df")).over(own) / half)
+        .where(F.col("place") <= F.col("shared") - F.greatest(F.lit(1), F.floor(F.col("n") / 4)) + 1)
+        .select("node", "n", "weight", "token")
     )
     entries = stored(entries, "entries")
     pivots = entries.groupBy("token").agg(F.max_by("node", F.struct("weight", "node")).alias("pivot"), F.min("node").alias("low"), F.max("node").alias("high"))
@@ -251,7 +249,7 @@ def class_links(docs: DataFrame, named: DataFrame) -> DataFrame:
     needed = pairs.select("node").unionByName(pairs.select(F.col("pivot").alias("node"))).distinct()
     readers = named.join(needed, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     sets = keeping_ids(texts.select("doc_id", "text"), readers, "doc_id").mapInArrow(_sets, "node binary, tokens array<bigint>")
-    sets = stored(sets.where("node is not null").dropDuplicates(["node"]), "sets")
+    sets = stored(sets.where("node is not null"), "sets")
     with_sets = pairs.join(sets, "node").join(sets.select(F.col("node").alias("pivot"), F.col("tokens").alias("pivot_tokens")), "pivot")
     verified = stored(with_sets.mapInArrow(_kinds, "pivot binary, node binary, n long, kind int"), "verified")
     stars = verified.where(f"kind = {NEAR}").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
