@@ -76,6 +76,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mine = words[starts[k] : starts[k + 1]]
             for place in places:
                 window = mine[max(0, place["low"]) : max(0, place["high"])]
+                if not len(window):  # a shorter text with the same id
+                    continue
                 doc.append(batch.column("doc_id")[k].as_py())
                 item.append(place["key"])
                 low.append(max(0, place["low"]))

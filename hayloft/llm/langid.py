@@ -91,7 +91,7 @@ def fit(labelled: DataFrame, vocabulary: str, text: str = "text", lang: str = "l
                 mine += np.bincount(flat, np.repeat(weight, np.diff(starts)), size)
         for name, mine in total.items():
             at = np.flatnonzero(mine)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at), pa.array(mine[at].astype(np.int64))], ["lang", "piece", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(mine[at].astype(np.int64))], ["lang", "piece", "n"])
 
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     learned = rows.mapInArrow(count, "lang string, piece long, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
