@@ -12,7 +12,7 @@ from hayloft import schemas as S
 # --- fixed values -----------------------------------------------------------
 # Word characters are spelled out: \w is ASCII-only in Java and would split accented words.
 TOKEN_PATTERN = r"[\p{L}\p{N}_'-]+"
-MARKER_PATTERN = r"@(\S+)"
+MARKER_PATTERN = r"(?U)@(\S+)"
 DROPPED_LEMMAS = (".", ",", "?", "!", "-", "_", "/")
 # --- end of fixed values ----------------------------------------------------
 
@@ -24,12 +24,12 @@ def tokens(text: Column) -> Column:
 
 def strip_blank(text: Column) -> Column:
     """Drop white space of every kind at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def split_lemmas(text: Column) -> Column:
     """Blank-separated lemma string -> array; a blank string has no lemmas."""
-    return F.filter(F.split(strip_blank(text), r"\s+"), lambda t: t != "")
+    return F.filter(F.split(strip_blank(text), r"(?U)\s+"), lambda t: t != "")
 
 
 def join_lemmas(lemmas: Column) -> Column:

@@ -10,9 +10,10 @@ from hayloft.functions import text
 from hayloft.session import broadcast_if_small
 
 
-def frame_plan(videos: DataFrame, max_frames: int = S.MAX_FRAMES, spacing: float = S.SECONDS_PER_FRAME) -> DataFrame:
+def frame_plan(videos: DataFrame, max_frames: int | None = None, spacing: float = S.SECONDS_PER_FRAME) -> DataFrame:
     """(item_id, frame, offset_s): evenly spaced frames, each in the middle of its share of the video."""
-    n = F.least(F.lit(max_frames), F.greatest((F.col("duration") / spacing).cast("int"), F.lit(1)))
+    n = F.greatest((F.col("duration") / spacing).cast("int"), F.lit(1))
+    n = n if max_frames is None else F.least(F.lit(max_frames), n)
     return (
         videos.select("item_id", "duration", n.alias("n"))
         .withColumn("frame", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
@@ -23,13 +24,14 @@ def frame_plan(videos: DataFrame, max_frames: int = S.MAX_FRAMES, spacing: float
 def segment_plan(
     audio: DataFrame,
     seconds: int = S.SEGMENT_SECONDS,
-    max_parts: int = S.MAX_SEGMENTS,
+    max_parts: int | None = None,
     min_seconds: float = S.MIN_SEGMENT_SECONDS,
 ) -> DataFrame:
     """(item_id, part, start_s, end_s): parts to transcribe; a too short rest is left out."""
     whole = F.floor(F.floor("duration") / seconds).cast("int") + 1
+    whole = whole if max_parts is None else F.least(whole, F.lit(max_parts))
     return (
-        audio.select("item_id", "duration", F.explode(F.sequence(F.lit(0), F.least(whole, F.lit(max_parts)) - 1)).alias("part"))
+        audio.select("item_id", "duration", F.explode(F.sequence(F.lit(0), whole - 1)).alias("part"))
         .where((F.col("part") == 0) | (F.col("duration") - F.col("part") * seconds >= min_seconds))
         .select(
             "item_id",

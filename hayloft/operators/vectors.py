@@ -33,6 +33,9 @@ _ARROW_SCORES = pa.schema(
 def as_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """List column -> float64 matrix; every list must have the same length."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    widths = np.unique(flat.value_lengths().to_numpy(zero_copy_only=False))
+    if len(widths) > 1:
+        raise ValueError(f"vectors of one kind have lengths {widths.tolist()}")
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
@@ -60,11 +63,12 @@ def _reduce_block(items, sims, query_ids, kind, k) -> Iterator[pa.RecordBatch]:
 def _score_table(vec_batch, queries: Mapping[str, tuple[np.ndarray, np.ndarray]], k) -> Iterator[pa.RecordBatch]:
     kinds = np.asarray(vec_batch.column("kind").to_pylist(), dtype=object)
     items = vec_batch.column("item_id").to_numpy()
-    matrix = as_matrix(vec_batch.column("vec")) if len(items) else None
     for kind, (query_ids, query_matrix) in queries.items():
         rows = np.flatnonzero(kinds == kind)
         if len(rows) and len(query_ids):
-            yield from _reduce_block(items[rows], matrix[rows] @ query_matrix.T, query_ids, kind, k)
+            # a matrix for each kind: kinds differ in the length of their vectors
+            matrix = as_matrix(vec_batch.column("vec").take(pa.array(rows)))
+            yield from _reduce_block(items[rows], matrix @ query_matrix.T, query_ids, kind, k)
 
 
 def _by_kind(queries: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
@@ -72,10 +76,9 @@ def _by_kind(queries: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     ids = queries.column("query_id").to_numpy()
     out = {}
     if len(ids):
-        matrix = as_matrix(queries.column("vec"))
         for kind in sorted(set(kinds)):
             rows = np.flatnonzero(kinds == kind)
-            out[kind] = (ids[rows], matrix[rows])
+            out[kind] = (ids[rows], as_matrix(queries.column("vec").take(pa.array(rows))))
     return out
 
 

@@ -18,11 +18,8 @@ CLIP_KIND_WEIGHTS = {"C": 0.5, "V": 0.5}
 CAPTION_WEIGHTS = {"lexical": 0.9, "semantic": 1.0}
 HYBRID_WEIGHTS = {"lexical": 1.0, "semantic": 1.0, "clip": 1.0}
 RRF_K = 60
-SIMILAR_LIMIT = 500
-MAX_FRAMES = 10
 SECONDS_PER_FRAME = 3.0
 SEGMENT_SECONDS = 29
-MAX_SEGMENTS = 20
 MIN_SEGMENT_SECONDS = 0.5
 MIN_BOX_PROBABILITY = 0.1
 MIN_WORD_FREQUENCY = 1e-6

@@ -169,3 +169,20 @@ def test_confidence_profiles():
 
 def test_every_mode_has_a_marker():
     assert set(search.MODE_LISTS) == {"hybrid", *S.SEARCH_MODES.values()}
+
+
+def test_kinds_of_different_length(spark):
+    import numpy as np
+
+    from hayloft.operators import vectors
+
+    rng = np.random.default_rng(0)
+    sizes = {"D": 1024, "C": 512}
+    stored = {(i, kind): rng.normal(size=n) for kind, n in sizes.items() for i in range(5)}
+    asked = {(i, kind): rng.normal(size=n) for kind, n in sizes.items() for i in range(3)}
+    table = spark.createDataFrame([(i, kind, vec.tolist()) for (i, kind), vec in stored.items()], "item_id long, kind string, vec array<double>")
+    queries = spark.createDataFrame([(i, kind, vec.tolist()) for (i, kind), vec in asked.items()], "query_id long, kind string, vec array<double>")
+    for rows in (100, 2):
+        got = vectors.similarity(table, queries, matrix_rows=rows).collect()
+        assert len(got) == 30
+        assert all(abs(r["score"] - asked[r["query_id"], r["kind"]] @ stored[r["item_id"], r["kind"]]) < 1e-8 for r in got)

@@ -47,3 +47,12 @@ def test_stream_kind(spark):
 
 def test_zero_vector_keeps_its_values(spark):
     assert column(spark, [[0.0, 0.0], [3.0, 4.0]], scoring.l2_normalize, "array<double>") == [[0.0, 0.0], [0.6, 0.8]]
+
+
+def test_white_space_of_every_kind(spark):
+    from hayloft.functions import text
+
+    row = spark.createDataFrame([(" @lex cat　",)], "q string").select(
+        text.markers(F.col("q")).alias("m"), text.without_markers(F.col("q")).alias("w"), text.split_lemmas(F.lit("a　b ")).alias("l")
+    ).first()
+    assert (row["m"], row["w"], row["l"]) == (["lex"], "cat", ["a", "b"])

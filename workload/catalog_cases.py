@@ -31,11 +31,6 @@ _STORED_SQL = "select f.* from files f where id in (select doc_id from labels)"
 _SCAN_SQL = "select name, added_at, ftype from files where lang in ('en', 'fr')"
 
 
-@query("s1_scan_directory")
-def scan_directory(spark, sf):
-    return file_source.scan_directory(spark, sf).select("name", "length")
-
-
 @query(
     "s2_media_types",
     r"""select url as name, case
@@ -92,10 +87,11 @@ def refresh_types(spark, sf):
 
 @query(
     "s6_register_directories",
-    """select name, fs_path from (
+    """select name, fs_path from (select name, min(fs_path) as fs_path from (
          select url as fs_path, split_part(url, '/', 3) as name from pages) p
        where name not in (select name from (select distinct source as name from documents))
          and fs_path not in (select '/media/' || source from documents)
+       group by name) n qualify row_number() over (partition by fs_path order by name) = 1
        union all select distinct source, '/media/' || source from documents""",
 )
 def register_directories(spark, sf):
@@ -406,14 +402,21 @@ def media_times(spark, sf):
 
 @query(
     "x11_stream_kinds",
-    r"""select page_id, regexp_matches(lower(html), 'stream.+?video') as film, regexp_matches(lower(html), 'div.+?p') as marked,
-          case when regexp_matches(lower(html), 'stream.+?video') then 'video' when regexp_matches(lower(html), 'stream.+?audio') then 'audio' else 'other' end as kind
-        from pages""",
+    r"""select page_id, regexp_matches(lower(report), 'stream.+?video') as film, regexp_matches(lower(report), 'div.+?p') as marked,
+          case when regexp_matches(lower(report), 'stream.+?video') then 'video' when regexp_matches(lower(report), 'stream.+?audio') then 'audio' else 'other' end as kind
+        from (select page_id, case page_id % 4 when 0 then 'Stream #0:0: Video: ' || url when 1 then 'stream #0:1(und): AUDIO: ' || url
+                when 2 then 'Video before Stream' else html end as report from pages)""",
 )
 def stream_kinds(spark, sf):
-    html = F.col("html")
+    sort = F.col("page_id") % 4
+    report = (
+        F.when(sort == 0, F.concat(F.lit("Stream #0:0: Video: "), "url"))
+        .when(sort == 1, F.concat(F.lit("stream #0:1(und): AUDIO: "), "url"))
+        .when(sort == 2, "Video before Stream")
+        .otherwise(F.col("html"))
+    )
     return v.table(spark, sf, "pages").select(
-        "page_id", text.has_stream(html, "video").alias("film"), html.rlike("(?i)div.+?p").alias("marked"), text.stream_kind(html).alias("kind")
+        "page_id", text.has_stream(report, "video").alias("film"), report.rlike("(?i)div.+?p").alias("marked"), text.stream_kind(report).alias("kind")
     )
 
 

@@ -18,7 +18,7 @@ def _timed(spark, sf, *types):
     v.sql(
         """select id as item_id, i::INT as frame, round(duration * (2 * i + 1) / (2 * n), 6) as offset_s
            from (select id, duration, n, unnest(range(n)) as i
-                 from (select id, duration, least(10, greatest(floor(duration / 3)::BIGINT, 1)) as n from files where ftype = 'video'))""",
+                 from (select id, duration, greatest(floor(duration / 3)::BIGINT, 1) as n from files where ftype = 'video'))""",
         "files",
     ),
 )
@@ -30,7 +30,7 @@ def frame_plan(spark, sf):
     "d2_segment_plan",
     v.sql(
         """select id as item_id, i::INT as part, i * 29.0e0 as start_s, least(duration, (i + 1) * 29.0e0) as end_s
-           from (select id, duration, unnest(range(least(floor(duration)::BIGINT // 29 + 1, 20))) as i from files where ftype <> 'image')
+           from (select id, duration, unnest(range(floor(duration)::BIGINT // 29 + 1)) as i from files where ftype <> 'image')
            where i = 0 or duration - i * 29 >= 0.5e0""",
         "files",
     ),

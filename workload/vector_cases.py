@@ -291,17 +291,17 @@ def _similar_sql(kind: str, column: str) -> str:
 
 @query("n1_similar_descriptions", _similar_sql("D", "description"))
 def similar_descriptions(spark, sf):
-    return similar.similar_text(v.files(spark, sf), v.text_vectors(spark, sf), _seeds(spark, sf), "D")
+    return similar.similar_text(v.files(spark, sf), v.text_vectors(spark, sf), _seeds(spark, sf), "D", 500)
 
 
 @query("n1_similar_ocr_texts", _similar_sql("O", "ocr_text"))
 def similar_ocr_texts(spark, sf):
-    return similar.similar_text(v.files(spark, sf), v.text_vectors(spark, sf), _seeds(spark, sf), "O")
+    return similar.similar_text(v.files(spark, sf), v.text_vectors(spark, sf), _seeds(spark, sf), "O", 500)
 
 
 @query("n1_similar_transcripts", _similar_sql("T", "transcript"))
 def similar_transcripts(spark, sf):
-    return similar.similar_text(v.files(spark, sf), v.text_vectors(spark, sf), _seeds(spark, sf), "T")
+    return similar.similar_text(v.files(spark, sf), v.text_vectors(spark, sf), _seeds(spark, sf), "T", 500)
 
 
 _CAPTION_SEEDS = """, seeds as (select id as seed_id, coalesce(llm_description, '') as text from files)"""
@@ -325,7 +325,7 @@ _CAPTION_SEEDS = """, seeds as (select id as seed_id, coalesce(llm_description,
 )
 def similar_captions(spark, sf):
     """Captions that are not analysed yet have no stored vector: those seeds are embedded on the way."""
-    return similar.similar_text(v.files(spark, sf), v.text_vectors(spark, sf), _seeds(spark, sf), "L")
+    return similar.similar_text(v.files(spark, sf), v.text_vectors(spark, sf), _seeds(spark, sf), "L", 500)
 
 
 def _pictures_sql(kind: str) -> str:
@@ -333,19 +333,19 @@ def _pictures_sql(kind: str) -> str:
         f""", found as (select a.item_id as seed_id, b.item_id, max(round(list_dot_product(a.vec, b.vec), 9) + 0.0) as score
               from pixel_vectors a join pixel_vectors b on a.kind = 'C' and b.kind = '{kind}' group by all)
             select *, row_number() over (partition by seed_id order by score desc, item_id) as rank from found qualify rank <= 500
-            union all select id, id, 1.0e0, 1 from files where ftype <> 'image'""",
+            union all select id, id, 1.0e0, 1 from files where ftype <> 'image' or id not in (select item_id from pixel_vectors where kind = 'C')""",
         "pixel_vectors", "files",
     )
 
 
 @query("n2_similar_images", _pictures_sql("C"))
 def similar_images(spark, sf):
-    return similar.similar_images(v.files(spark, sf), v.pixel_vectors(spark, sf), _seeds(spark, sf))
+    return similar.similar_images(v.files(spark, sf), v.pixel_vectors(spark, sf), _seeds(spark, sf), 500)
 
 
 @query("n3_similar_videos", _pictures_sql("V"))
 def similar_videos(spark, sf):
-    return similar.similar_images(v.files(spark, sf), v.pixel_vectors(spark, sf), _seeds(spark, sf), kind="V")
+    return similar.similar_images(v.files(spark, sf), v.pixel_vectors(spark, sf), _seeds(spark, sf), 500, kind="V")
 
 
 @query(
@@ -359,7 +359,7 @@ def similar_videos(spark, sf):
 )
 def similar_to_upload(spark, sf):
     outside = v.clip_query_vectors(spark, sf).withColumnRenamed("query_id", "seed_id")
-    return similar.similar_to_vectors(v.pixel_vectors(spark, sf), outside)
+    return similar.similar_to_vectors(v.pixel_vectors(spark, sf), outside, 500)
 
 
 _METADATA = f""", sources as (
@@ -383,7 +383,7 @@ _METADATA = f""", sources as (
 
 @query("n5_similar_metadata", v.sql(_METADATA, "store", "files"))
 def similar_metadata(spark, sf):
-    return similar.similar_metadata(v.files(spark, sf), v.text_vectors(spark, sf), _seeds(spark, sf))
+    return similar.similar_metadata(v.files(spark, sf), v.text_vectors(spark, sf), _seeds(spark, sf), 500)
 
 
 @query(
@@ -407,7 +407,7 @@ def neighbours(spark, sf):
     ),
 )
 def self_first(spark, sf):
-    found = similar.similar_text(v.files(spark, sf), v.text_vectors(spark, sf), _seeds(spark, sf), "L")
+    found = similar.similar_text(v.files(spark, sf), v.text_vectors(spark, sf), _seeds(spark, sf), "L", 500)
     missing = _seeds(spark, sf).join(
         v.text_vectors(spark, sf).where("kind = 'L'").select(F.col("item_id").alias("seed_id")), "seed_id", "left_anti"
     )
@@ -417,5 +417,5 @@ def self_first(spark, sf):
 @query("o5_similar_limit", v.sql("select a.item_id as seed_id, least(500, (select count(*) from pixel_vectors where kind = 'C')) as n from pixel_vectors a where kind = 'C'", "pixel_vectors"))
 def similar_limit(spark, sf):
     seeds = v.pixel_vectors(spark, sf).where("kind = 'C'").select(F.col("item_id").alias("seed_id"))
-    found = similar.similar_images(v.files(spark, sf), v.pixel_vectors(spark, sf), seeds)
+    found = similar.similar_images(v.files(spark, sf), v.pixel_vectors(spark, sf), seeds, 500)
     return found.groupBy("seed_id").agg(F.count("*").alias("n"))
