@@ -2,7 +2,7 @@
 
 Texts are tokenized with a public tokenizer, an end id is appended, and documents are written in
 ascending id order. A file row is a chunk of whole documents: their ids and lengths and the coded ids,
-cut into up to 1,024 blocks of equal length. Every block starts with fresh models and has its own
+cut into up to 512 blocks of equal length. Every block starts with fresh models and has its own
 checksum, so blocks are coded side by side, one numpy lane each, and a damaged one is found.
 
 Three predictors of the next id are mixed: order 2 and order 1 name the id that followed the same
@@ -33,11 +33,12 @@ from hayloft.llm.common import coded, slices, split_words, work_dir
 
 END = 1
 MAGIC = b"TID1"
-LANES, BLOCK_IDS, CHUNK_IDS = 1024, 4096, 4_194_304
+LANES, BLOCK_IDS, CHUNK_IDS = 512, 4096, 2_097_152
 CONTEXTS = 4096  # entries of an order's table in a block
 FULL = 4096  # probabilities are out of this
 SPECIAL = "<|endoftext|>"
-CACHED_WORDS = 600_000
+CACHED_WORDS = 200_000
+ENCODED_AT_ONCE = 10_000  # words; the tokenizer keeps strings and places of all their pieces
 
 
 class Words:
@@ -72,18 +73,21 @@ class Words:
         # all but a group's first piece begin with the separator; words coded alone with a filler
         return [found[v] if v in firsts else found[v][1:] for v in values]
 
+    def _add(self, new: list[str]) -> None:
+        pieces = self._encode(new)
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.place.update(zip(new, range(len(self.lengths), len(self.lengths) + len(new))))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ids = np.concatenate([self.ids, *pieces])
+
     def lookup(self, values: list[str]) -> np.ndarray:
         new = [v for v in values if v not in self.place]
         if len(self.place) + len(new) > CACHED_WORDS and self.place:
             self.clear()
             new = values
-        if new:
-            pieces = self._encode(new)
-            lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-            self.place.update(zip(new, range(len(self.lengths), len(self.lengths) + len(new))))
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-            self.lengths = np.concatenate([self.lengths, lengths])
-            self.ids = np.concatenate([self.ids, *pieces])
+        for k in range(0, len(new), ENCODED_AT_ONCE):
+            self._add(new[k : k + ENCODED_AT_ONCE])
         return np.fromiter((self.place[v] for v in values), np.int64, len(values))
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -322,7 +326,7 @@ def _chunks(path: str):
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], ["part", "chunk", "n_ids", "doc_ids", "lengths", "blocks"])
 
-        for batch in slices(batches, "text", 4_000_000):
+        for batch in slices(batches, "text", 2_000_000):
             ids, sizes = _words(path).encode(batch.column("text"))
             names, begin = batch.column("doc_id").to_pylist(), 0
             for name, size in zip(names, sizes.tolist()):
@@ -330,7 +334,7 @@ def _chunks(path: str):
                     yield flush()
                 docs.append(name)
                 lengths.append(size)
-                held.append(ids[begin : begin + size])
+                held.append(ids[begin : begin + size].copy())  # not a view that keeps the slice
                 begin, waiting = begin + size, waiting + size
         if waiting:
             yield flush()
