@@ -36,7 +36,7 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
     labels = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
     captions = (
         table(spark, sf, "conversations").where("role = 'assistant'").groupBy("conv_id")
-        .agg(F.min_by("text", "turn").alias("caption"))
+        .agg(F.expr("listagg(text, ' ') within group (order by turn)").alias("caption"))
     )
     docs = spread(table(spark, sf, "documents"))
     joined = docs.join(labels, "doc_id", "left").join(captions, docs.doc_id == captions.conv_id, "left")
@@ -233,7 +233,7 @@ def _embed(source: str, keys: str) -> str:
 
 
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
-    "captions": ((), "select conv_id, arg_min(text, turn) as caption from conversations where role = 'assistant' group by conv_id"),
+    "captions": ((), "select conv_id, string_agg(text, ' ' order by turn) as caption from conversations where role = 'assistant' group by conv_id"),
     "typed": (
         ("captions",),
         """select d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic, c.caption, substr(d.source, 4)::INT as src,
