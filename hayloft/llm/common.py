@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,8 +51,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
     """Arrow batches cut so that each holds about ``limit`` bytes of ``column``, one row at least."""
     for batch in batches:
         yield from (batch.slice(a, b - a) for a, b in spans(batch.column(column), limit))
-    # workers are used again by later stages; what this one has freed goes back to the machine
+    release()
+
+
+def release() -> None:
+    """Workers are used again by later stages; what this one has freed goes back to the machine."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def spans(text: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:

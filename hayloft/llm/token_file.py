@@ -18,7 +18,6 @@ one chunk, which is then as large as the text; other columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hayloft.llm.common import coded, slices, split_words, work_dir
+from hayloft.llm.common import coded, release, slices, split_words, work_dir
 
 END = 1
 MAGIC = b"TID1"
@@ -106,11 +105,6 @@ class Words:
         return ids, np.diff(bounds)
 
 
-@functools.lru_cache(maxsize=1)
-def _words(path: str) -> Words:
-    return Words(path)
-
-
 class Model:
     """Predictors and mixer of all lanes; coder and decoder call it alike."""
 
@@ -315,6 +309,7 @@ def _chunks(path: str):
         lengths: list[int] = []
         held: list[np.ndarray] = []
         waiting = 0
+        words = Words(path)  # of this task only: a reused worker should not keep tokenizer and words while it decodes
 
         def flush():
             nonlocal chunk, waiting
@@ -327,7 +322,7 @@ def _chunks(path: str):
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], ["part", "chunk", "n_ids", "doc_ids", "lengths", "blocks"])
 
         for batch in slices(batches, "text", 2_000_000):
-            ids, sizes = _words(path).encode(batch.column("text"))
+            ids, sizes = words.encode(batch.column("text"))
             names, begin = batch.column("doc_id").to_pylist(), 0
             for name, size in zip(names, sizes.tolist()):
                 if waiting and waiting + size > CHUNK_IDS:
@@ -338,6 +333,8 @@ def _chunks(path: str):
                 begin, waiting = begin + size, waiting + size
         if waiting:
             yield flush()
+        del words
+        release()
 
     return run
 
@@ -370,6 +367,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             arrays = [pa.array([batch.column(c)[k].as_py()] * count, t) for c, t in (("part", pa.int32()), ("chunk", pa.int64()))]
             arrays += [batch.column("doc_ids").slice(k, 1).flatten(), pa.array(ends - lengths), pa.array(lengths), pa.array(sums, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, ["part", "chunk", "doc_id", "offset", "n_tokens", "ids_crc32"])
+            release()
 
 
 def read_documents(spark, path: str) -> DataFrame:
