@@ -64,7 +64,8 @@ def prefix_table(dictionary: DataFrame) -> DataFrame:
 def longest_prefix(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(lang, word, is_known, prefix_length): length of the longest start shared with a dictionary word."""
     prefixes = prefix_table(dictionary).groupBy("lang", "prefix").agg(F.max("is_word").alias("is_word"))
-    starts = words.select("lang", "word", F.explode(F.sequence(F.lit(0), F.length("word"))).alias("n"))
+    # the empty start is every word's and needs no look-up, unless the word itself is empty
+    starts = words.select("lang", "word", F.explode(F.sequence(F.least(F.lit(1), F.length("word")), F.length("word"))).alias("n"))
     found = starts.withColumn("prefix", F.expr("substring(word, 1, n)")).join(
         broadcast_if_small(prefixes), ["lang", "prefix"], "left"
     )
