@@ -198,6 +198,34 @@ def test_decontamination(spark, docs, empty):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items).collect()} == {(18, 1)}
 
 
+def test_decontamination_finds_every_edited_copy(spark):
+    """An edited copy beside an exact one, and random edits of items of any length, against all pairs."""
+    rng = random.Random(3)
+    w = [f"w{k}" for k in range(20)]
+    fifth = [f"n{k}" if k % 5 == 2 else x for k, x in enumerate(w)]
+    apart = [x for k in range(0, 20, 2) for x in (w[k], w[k + 1], f"gap{k}")]
+    items = [w, *([f"i{rng.randrange(30)}" for _ in range(n)] for n in (3, 4, 5, 6, 7, 8, 11, 15, 24))]
+    texts = [w, fifth, apart]
+    for item in items * 12:
+        text = [x for x in item if rng.random() > 0.1]
+        for _ in range(rng.randrange(1 + len(item) // 2)):
+            k = rng.randrange(len(text) + 1)
+            text[k : k + rng.randrange(2)] = [f"i{rng.randrange(40)}"]
+        texts.append([f"i{rng.randrange(40)}" for _ in range(rng.randrange(30))] + text + [f"i{rng.randrange(40)}" for _ in range(rng.randrange(30))])
+    expected = {}
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            share = _local_score(item, text) / (2 * len(item))
+            if share >= 0.6:
+                expected[d, i] = share
+    assert expected[1, 0] == pytest.approx(0.7) and expected[2, 0] > 0.7 and len(expected) > 90
+    docs = spark.createDataFrame([(d, " ".join(x)) for d, x in enumerate(texts)], "doc_id long, text string")
+    table = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(docs, table).collect()} == expected
+    two = decontaminate.contaminated(docs.where("doc_id < 2"), table.where("item_id = 0"))
+    assert sorted((r["doc_id"], r["score"]) for r in two.collect()) == [(0, 1.0), (1, 0.7)]
+
+
 def _local_score(a, b):
     table, best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)], 0
     for i in range(1, len(a) + 1):
