@@ -19,14 +19,16 @@ metric. A block pair returns the links of a spanning forest of what it finds. So
 exact, and no group of any size meets in one task.
 
 Defined cases: null and empty texts and texts without words have no tokens, link with nothing and are
-their own component; repeated rows are copies; ids are meant to be unique, and groups led by the same
-id come out as one; an empty table gives an empty result; other columns are ignored.
+their own component; repeated rows are copies; rows without an id link others like any row, and a group
+of such rows only has no component id; ids are meant to be unique, and groups led by the same id come
+out as one; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,7 @@ SHINGLE = 5
 BLOCK_ROWS, BLOCK_TOKENS = 64, 400_000
 NEAR, MIDDLE, FAR = 0, 1, 2
 BUCKET_TOKENS = 2_000_000  # tokens counted together, 16 MB
+NUMBER = "decimal(20,0)"  # ids, and above all of them the numbers of classes without one
 
 
 def shingle_sets(text: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
@@ -223,6 +226,25 @@ def classes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_classes, "doc_id long, n long, node binary")
 
 
+def _some_without_id(named: DataFrame) -> bool:
+    return named.where("doc_id is null and node is not null").limit(1).count() > 0
+
+
+def _leaders(named: DataFrame) -> DataFrame:
+    """``(node, leader)``: the smallest id of each class; if some rows have none, as a ``NUMBER``."""
+    leaders = named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("leader"))
+    if not _some_without_id(named):
+        return leaders
+    # stored, as these numbers differ when computed again
+    numbered = stored(leaders.where("leader is null").select("node", F.monotonically_increasing_id().alias("number")), "numbered")
+    above = F.col("number").cast(NUMBER) + F.lit(Decimal(2**63)).cast(NUMBER)
+    return leaders.where("leader is not null").select("node", F.col("leader").cast(NUMBER).alias("leader")).unionByName(numbered.select("node", above.cast(NUMBER).alias("leader")))
+
+
+def _id(number: str):
+    return F.when(F.col(number) < F.lit(Decimal(2**63)).cast(NUMBER), F.col(number).cast("long"))
+
+
 def class_links(docs: DataFrame, named: DataFrame) -> DataFrame:
     """Links ``(a, b)`` between classes that connect what the similarity connects."""
     texts = docs.where(F.col("text").isNotNull())
@@ -247,9 +269,15 @@ def class_links(docs: DataFrame, named: DataFrame) -> DataFrame:
     pairs = stored(met.where("node <> pivot").groupBy("pivot", "node").agg(F.first("n").alias("n")), "pairs")
 
     needed = pairs.select("node").unionByName(pairs.select(F.col("pivot").alias("node"))).distinct()
-    readers = named.join(needed, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    sets = keeping_ids(texts.select("doc_id", "text"), readers, "doc_id").mapInArrow(_sets, "node binary, tokens array<bigint>")
-    sets = stored(sets.where("node is not null"), "sets")
+    readers = named.join(needed, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    by_id = readers.where("doc_id is not null").select("doc_id").distinct()
+    sets = keeping_ids(texts.select("doc_id", "text"), by_id, "doc_id").mapInArrow(_sets, "node binary, tokens array<bigint>")
+    sets = sets.where("node is not null")
+    if _some_without_id(named):
+        # classes of rows without an id are found by their name, one row each
+        unnamed = texts.where("doc_id is null").select("text").mapInArrow(_sets, "node binary, tokens array<bigint>")
+        sets = sets.unionByName(unnamed.join(readers.where("doc_id is null").select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    sets = stored(sets, "sets")
     with_sets = pairs.join(sets, "node").join(sets.select(F.col("node").alias("pivot"), F.col("tokens").alias("pivot_tokens")), "pivot")
     verified = stored(with_sets.mapInArrow(_kinds, "pivot binary, node binary, n long, kind int"), "verified")
     stars = verified.where(f"kind = {NEAR}").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
@@ -290,7 +318,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs(doc_id, text)``."""
     named = stored(classes(docs), "classes")
     links = class_links(docs, named)
-    leaders = named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("leader"))
+    leaders = _leaders(named)
     by_id = (
         stored(links, "links")
         .join(leaders.select(F.col("node").alias("a"), F.col("leader").alias("la")), "a")
@@ -301,5 +329,5 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     return (
         named.join(leaders, "node", "left")
         .join(grouped.withColumnRenamed("id", "leader"), "leader", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "leader", "doc_id").alias("component_id"))
+        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(_id("component"), _id("leader"), "doc_id").alias("component_id"))
     )

@@ -327,6 +327,24 @@ def test_jaccard_chains_and_stars(spark):
     assert sorted(map(tuple, jaccard_join.similar_groups(table).collect()), key=repr) == plain.groups(rows)
 
 
+def test_jaccard_rows_without_id(spark):
+    """Near copies without an id link others, as pivots and in the middle of a chain."""
+    rng = random.Random(12)
+    base = [f"c{k}" for k in range(60)]
+    chain = [base[5 * k :] + [f"e{j}" for j in range(5 * k)] for k in range(3)]
+    assert len({c for _, _, c in plain.groups([(k, " ".join(x)) for k, x in enumerate(chain[::2])])}) == 2
+    rows = [(None if k == 1 else 1000 + k, " ".join(x)) for k, x in enumerate(chain)]
+    for g in range(12):
+        text = [f"g{g}w{k}" for k in range(50)]
+        for k in range(9):
+            if k % 3 == 0:
+                text = text[2:] + [f"g{g}e{k}"]
+            edited = [f"g{g}x{k}" if j == rng.randrange(50) else x for j, x in enumerate(text)]
+            rows += [(None if g == 11 or rng.random() < 0.6 else len(rows), " ".join(edited))] * (1 + (k == 4))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_join.similar_groups(table).collect()), key=repr) == plain.groups(rows)
+
+
 def test_every_order_keeps_linked_pairs():
     rng = np.random.default_rng(6)
     for _ in range(300):
