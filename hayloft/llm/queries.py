@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hayloft.llm import chat_format, decontaminate, jaccard_join, langid, lm_score, mixing, pii, quality, token_file, toxicity
+from hayloft.llm import chat_format, decontaminate, jaccard_join, langid, lm_score, mixing, pii, quality, token_file, toxicity, vector_code
 from hayloft.llm.common import stored, table
 
 QUERIES = {}
@@ -121,3 +121,32 @@ select w.doc_id, count(s.p)::bigint as n_words, round(sum(s.p) / count(s.p), 6)
 def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm_score.scores(table(spark, sf_dir, "documents"))
     return scored.select("doc_id", "n_words", F.round("score", 6).alias("score"))
+
+
+def _code_sql(rounds: int = 6) -> str:
+    """Lloyd's method over whole vectors, round by round: no layers, no owners."""
+    steps = [
+        """kept as materialized (select row_number() over () as row, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) as v
+    from embeddings where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+        """parts as materialized (select row, vec_id, p, v[p * (len(v) // 8) + 1 : (p + 1) * (len(v) // 8)] as part from kept, range(8) as t(p))""",
+        """book0 as materialized (select p, rank - 1 as entry, part as center from (select *, row_number() over (partition by p order by vec_id) as rank from parts) where rank <= 16)""",
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"""near{k} as materialized (select row, p, min(struct_pack(d := d, entry := entry)) as best from (select row, b.p, b.entry,
+    list_sum(list_transform(range(1, len(part) + 1), lambda i: (part[i] - center[i]) * (part[i] - center[i])))::bigint as d from parts a join book{k} b on a.p = b.p) group by row, p)""")
+        if k < rounds:
+            steps.append(f"""book{k + 1} as materialized (with means as (select p, entry, list(floor(total / n)::bigint order by i) as center from (
+    select a.p, best.entry as entry, i, sum(part[i])::double as total, count(*) as n from parts a join near{k} using (row, p), range(1, len(part) + 1) as t(i) group by all) group by p, entry)
+    select b.p, b.entry, coalesce(m.center, b.center) as center from book{k} b left join means m on b.p = m.p and b.entry = m.entry)""")
+    return "with " + ",\n".join(steps) + f""",
+codes as (select row, string_agg(lower(printf('%02x', best.entry::int)), '' order by p) as code, sum(best.d)::bigint as error from near{rounds} group by row),
+final as (select sha256(string_agg(c::varchar, ',' order by p, entry, i)) as codebooks_sha256 from (select p, entry, i, center[i] as c from book{rounds}, range(1, len(center) + 1) as t(i)))
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from kept join codes using (row), final
+"""
+
+
+@query("op13_vector_code", _code_sql())
+def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_code.compress(table(spark, sf_dir, "embeddings"))
+    codes = vector_code.with_label_error(coded.codes).withColumn("codebooks_sha256", F.lit(vector_code.digest(coded.books)))
+    return codes.select(F.col("key").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
