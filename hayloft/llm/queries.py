@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hayloft.llm import chat_format, decontaminate, jaccard_join, langid, lm_score, mixing, pii, quality, token_file, toxicity, vector_code
-from hayloft.llm.common import stored, table
+from hayloft.llm import chat_format, decontaminate, jaccard_join, langid, lm_score, mixing, pii, quality, runs, token_file, toxicity, vector_code
+from hayloft.llm.common import stored, table, words
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -150,3 +150,32 @@ def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = vector_code.compress(table(spark, sf_dir, "embeddings"))
     codes = vector_code.with_label_error(coded.codes).withColumn("codebooks_sha256", F.lit(vector_code.digest(coded.books)))
     return codes.select(F.col("key").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)``: in a tenth of the texts, chosen by the hash of the id, words from some place on repeat a block."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    w = words(F.col("text"))
+    n, g = F.size(w).cast("long"), F.floor(h / 10)
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    block = F.slice(w, (a + 1).cast("int"), p.cast("int"))
+    again = F.flatten(F.array_repeat(block, F.ceil((n - a) / p).cast("int")))
+    planted = F.array_join(F.slice(F.concat(F.slice(w, F.lit(1), a.cast("int")), again), F.lit(1), n.cast("int")), " ")
+    return docs.select("doc_id", F.when((h % 10 == 0) & (n > 0), planted).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find(_with_planted_runs(table(spark, sf_dir, "documents")))
+    best = runs.longest(F.col("runs"))
+    return found.select(
+        F.col("key").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(runs.listed(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
