@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hayloft.llm import chat_format, decontaminate, jaccard_join, langid, lm_score, mixing, pii, quality, runs, token_file, toxicity, vector_code
+from hayloft.llm import chat_format, decontaminate, jaccard_join, langid, lm_score, mixing, pii, quality, runs, substrings, token_file, toxicity, vector_code
 from hayloft.llm.common import stored, table, words
 
 QUERIES = {}
@@ -179,3 +179,20 @@ def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(runs.listed(F.col("runs")), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+SUBSTRING_SQL = r"""
+with w as (select row_number() over () as row, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+windows as (select row, doc_id, i, md5_number(array_to_string(ws[i:i + 19], ' ')) as passage from w, unnest(range(1, len(ws) - 18)) as t(i)),
+again as (select row, i from (select row, i, row_number() over (partition by passage order by doc_id, i) as n from windows) where n > 1),
+gone as (select distinct row, i + j as i from again, range(20) as t(j)),
+places as (select row, i, ws[i] as word from w, unnest(range(1, len(ws) + 1)) as t(i)),
+kept as (select row, string_agg(word, ' ' order by i) as kept, count(*) as n from places anti join gone using (row, i) group by row)
+select doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join kept using (row)
+"""
+
+
+@query("op12_substring_dedup", SUBSTRING_SQL)
+def without_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select(F.col("key").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
