@@ -7,6 +7,9 @@ query batch is scored, so postings never carry numbers that another file's chang
 Texts are dealt to tasks by item once; all counting and scoring of an item then happens where its
 text is, without another shuffle. Scoring drops postings of tokens nobody asked for first. The item
 length travels inside the posting, which saves the join of postings with item lengths.
+
+Stored postings lie in partitions by a hash of their token, and so do the token statistics: a batch of queries reads the
+partitions of its own tokens.
 """
 
 from __future__ import annotations
@@ -20,13 +23,22 @@ from pyspark.sql import functions as F
 
 from hayloft import schemas as S
 from hayloft.functions import scoring, text
-from hayloft.session import broadcast_if_small, fits
+from hayloft.session import BROADCAST_ROWS, broadcast_if_small
+
+# Partitions of stored postings; a batch's tokens name at most so many.
+BUCKETS = 64
 
 
 class LexicalIndex(NamedTuple):
     postings: DataFrame  # field, variant, token, item_id, tf, dl
     doc_stats: DataFrame  # field, variant, item_id, dl
     token_stats: DataFrame | None = None  # field, variant, token, df; counted from the postings when not stored
+    field_stats: DataFrame | None = None  # field, variant, n_items, total_len, avgdl; likewise
+
+
+def bucket_of(token: Column) -> Column:
+    """Partition of a token's stored postings."""
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
 
 
 # field -> (text column, analysed flag or None, stored lemma column)
@@ -99,6 +111,16 @@ def token_stats(postings: DataFrame) -> DataFrame:
     return postings.groupBy("field", "variant", "token").agg(F.count("*").alias("df"))
 
 
+def token_bounds(postings: DataFrame) -> DataFrame:
+    """Document frequency of each token, its greatest count in a text and the shortest text that holds it.
+
+    The BM25 share grows with the count and falls with the length, so these two bound it for any average length.
+    """
+    return postings.groupBy("field", "variant", "token").agg(
+        F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl")
+    )
+
+
 def corpus_stats(doc_stats: DataFrame) -> DataFrame:
     """One row per field and variant: items, total and average length."""
     return doc_stats.groupBy("field", "variant").agg(
@@ -144,7 +166,28 @@ def query_tokens(
 
 def token_lookup(postings: DataFrame, qtokens: DataFrame) -> DataFrame:
     """Postings of the asked tokens, one row per asking query."""
-    return postings.join(broadcast_if_small(qtokens), ["variant", "token"])
+    asked = asked_buckets(qtokens)
+    hint = F.broadcast if asked.small else (lambda df: df)
+    return asked.of(postings).join(hint(qtokens), ["variant", "token"])
+
+
+class Buckets(NamedTuple):
+    """Partitions that the tokens of a batch lie in, and whether the tokens are few enough to be broadcast."""
+
+    numbers: list[int]
+    small: bool
+
+    def of(self, stored: DataFrame) -> DataFrame:
+        """Rows of a stored table that can hold asked tokens: other partitions are not listed for the scan."""
+        if "bucket" not in stored.columns:
+            return stored
+        return stored.where(F.col("bucket").isin(*self.numbers)).drop("bucket")
+
+
+def asked_buckets(qtokens: DataFrame) -> Buckets:
+    """One row per partition reaches the driver, whatever the number of tokens."""
+    counts = qtokens.groupBy(bucket_of(F.col("token")).alias("bucket")).count().collect()
+    return Buckets(sorted(r["bucket"] for r in counts), sum(r["count"] for r in counts) <= BROADCAST_ROWS)
 
 
 def _variant_weight(weights: dict[str, float]) -> Column:
@@ -156,7 +199,7 @@ class Matched(NamedTuple):
 
     qtokens: DataFrame  # query_id, variant, token
     hits: DataFrame  # field, variant, token, item_id, share: BM25 share of the asked tokens, before idf
-    weights: DataFrame  # query_id, field, variant, token, weight (variant weight x idf), avgdl
+    weights: DataFrame  # query_id, field, variant, token, weight (variant weight x idf), avgdl, df and bounds if stored
     filled: DataFrame  # fields that hold any text
     small: bool  # the query tokens passed the size check for broadcasts
 
@@ -174,23 +217,25 @@ def match(
     Vocabulary and weights hold at most one row per query token and field, so one size check of the
     query tokens decides all broadcasts; a larger batch is joined by shuffling.
     """
-    small = fits(qtokens)
+    buckets = asked_buckets(qtokens)
+    small = buckets.small
     hint = F.broadcast if small else (lambda df: df)
     vocabulary = qtokens.select("variant", "token").distinct()
     wanted = F.col("field").isin(*fields)
-    asked = index.postings.where(wanted).join(hint(vocabulary), ["variant", "token"], "left_semi")
-    doc_stats = index.doc_stats.where(wanted)
-    sizes = F.broadcast(corpus_stats(doc_stats))  # at most fields x variants rows
-    counted = token_stats(asked) if index.token_stats is None else index.token_stats.where(wanted)
+    asked = buckets.of(index.postings.where(wanted)).join(hint(vocabulary), ["variant", "token"], "left_semi")
+    per_field = corpus_stats(index.doc_stats.where(wanted)) if index.field_stats is None else index.field_stats.where(wanted)
+    sizes = F.broadcast(per_field)  # at most fields x variants rows
+    counted = token_stats(asked) if index.token_stats is None else buckets.of(index.token_stats.where(wanted))
+    bounds = [c for c in ("df", "max_tf", "min_dl") if c in counted.columns]
     idfs = counted.join(sizes, ["field", "variant"]).select(
-        "field", "variant", "token", "avgdl", scoring.idf(F.col("n_items"), F.col("df")).alias("idf")
+        "field", "variant", "token", "avgdl", *bounds, scoring.idf(F.col("n_items"), F.col("df")).alias("idf")
     )
     weights = idfs.join(hint(qtokens), ["variant", "token"]).select(
-        "query_id", "field", "variant", "token", "avgdl", (_variant_weight(variant_weights) * F.col("idf")).alias("weight")
+        "query_id", "field", "variant", "token", "avgdl", *bounds, (_variant_weight(variant_weights) * F.col("idf")).alias("weight")
     )
     share = scoring.bm25_saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
     hits = asked.join(sizes, ["field", "variant"]).select("field", "variant", "token", "item_id", share.alias("share"))
-    return Matched(hint(qtokens), hits, hint(weights), doc_stats.select("field").distinct(), small)
+    return Matched(hint(qtokens), hits, hint(weights), per_field.select("field").distinct(), small)
 
 
 def bm25_fields(matched: Matched) -> DataFrame:
@@ -261,6 +306,8 @@ def apply_delta(index: LexicalIndex, delta: LexicalIndex) -> LexicalIndex:
     """
     key = ["field", "item_id"]
     touched = broadcast_if_small(delta.doc_stats.select(*key).distinct())
+    if "bucket" in index.postings.columns:
+        delta = delta._replace(postings=delta.postings.withColumn("bucket", bucket_of(F.col("token"))))
 
     def merged(base: DataFrame, change: DataFrame) -> DataFrame:
         columns = base.columns

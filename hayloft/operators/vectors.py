@@ -150,6 +150,13 @@ def combined(vectors: DataFrame, queries: DataFrame, weights: Mapping[str, float
     return fusion.max_weighted(search_kinds(vectors, queries, list(used), k), used, "kind")
 
 
+def by_item(store: DataFrame) -> DataFrame:
+    """(item_id, one column of vectors for each kind): what several kinds say about an item can be settled where its row is."""
+    kinds = (*S.KIND_TEXT_FIELD, *S.CLIP_KIND_WEIGHTS)
+    lists = [F.collect_list(F.when(F.col("kind") == k, F.col("vec"))).alias(k) for k in kinds]
+    return store.where("vec is not null").groupBy("item_id").agg(*lists)
+
+
 # --- embedding store ------------------------------------------------------------------------------
 
 

@@ -105,3 +105,7 @@ CHANGES = T.StructType(
         T.StructField("is_directory", T.BooleanType()),
     ]
 )
+
+# stored tables of the index, in partitions by bucket
+POSTINGS = "field string, variant string, token string, item_id long, tf long, dl long, bucket int"
+TOKEN_STATS = "field string, variant string, token string, df long, max_tf long, min_dl long, bucket int"
