@@ -211,13 +211,14 @@ def match(
     k1: float = S.BM25_K1,
     b: float = S.BM25_B,
     variant_weights: dict[str, float] = S.VARIANT_WEIGHTS,
+    buckets: Buckets | None = None,
 ) -> Matched:
     """Postings and weights of the asked tokens.
 
     Vocabulary and weights hold at most one row per query token and field, so one size check of the
     query tokens decides all broadcasts; a larger batch is joined by shuffling.
     """
-    buckets = asked_buckets(qtokens)
+    buckets = buckets or asked_buckets(qtokens)
     small = buckets.small
     hint = F.broadcast if small else (lambda df: df)
     vocabulary = qtokens.select("variant", "token").distinct()

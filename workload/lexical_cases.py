@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from hayloft import schemas as S
 from hayloft.functions import scoring, text
 from hayloft.operators import fusion, lexical
+from hayloft.session import work_dir
+from hayloft.sources import tables
 from workload import views as v
 from workload.registry import query, shown
 
@@ -15,6 +17,13 @@ def index(spark, sf):
     return lexical.build_index(lexical.indexable_texts(v.files(spark, sf)))
 
 
+def stored(spark, sf):
+    """The index as it lies in storage, in partitions by token."""
+    root = work_dir(spark, "index")
+    tables.write_index(index(spark, sf), root)
+    return tables.read_index(spark, root)
+
+
 def asked(spark, sf):
     return lexical.query_tokens(v.base_queries(spark, sf))
 
@@ -83,6 +92,15 @@ def token_lookup(spark, sf):
     return lexical.token_lookup(index(spark, sf).postings, asked(spark, sf)).drop("dl")
 
 
+@query(
+    "j3_stored_lookup",
+    v.sql("select q.query_id, p.field, p.variant, p.token, p.item_id, p.tf from postings p join qtokens q using (variant, token)", "postings", "qtokens"),
+)
+def stored_lookup(spark, sf):
+    """The same from stored postings: only the partitions of the asked tokens are opened."""
+    return lexical.token_lookup(stored(spark, sf).postings, asked(spark, sf)).drop("dl")
+
+
 @query(
     "l1_bm25_one_variant",
     v.sql(
@@ -128,6 +146,13 @@ def combined_lexical(spark, sf):
     return shown(lexical_list(spark, sf))
 
 
+@query("l5_stored_lexical", v.sql("select query_id, item_id, round(score + 3e-10, 6) as score from lexical_list", "lexical_list"))
+def stored_lexical(spark, sf):
+    """Combined lexical search on stored postings, token and field statistics."""
+    scored = lexical.bm25_fields(lexical.match(stored(spark, sf), asked(spark, sf), tuple(S.FIELD_WEIGHTS)))
+    return shown(fusion.max_weighted(scored, S.FIELD_WEIGHTS, "field"))
+
+
 def lexical_list(spark, sf):
     return fusion.max_weighted(fields(spark, sf, fields=tuple(S.FIELD_WEIGHTS)), S.FIELD_WEIGHTS, "field")
 
