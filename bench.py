@@ -14,6 +14,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from hayloft.functions import text
 from hayloft.operators import catalog, dictionary, enrich, lexical, vectors
 from hayloft.plans import search, similar
 from hayloft.session import local_session, work_dir
@@ -85,6 +86,7 @@ def main() -> None:
         one = raw.where("query_id = 0")
         drain(search.search(corpus, one, text_vectors.where("query_id = 0"), clip_vectors.where("query_id = 0"), profile, limit=10, list_bound=bound))
 
+    asked_words = base.select(F.lit("en").alias("lang"), F.explode(text.tokens(F.col("query_text"))).alias("word")).distinct()
     seeds = files.select(F.col("id").alias("seed_id"))
     jobs = {
         "lexical_batch": lexical_batch,
@@ -100,7 +102,7 @@ def main() -> None:
         "apply_edits": lambda: drain(edit_cases._edited(spark, sf)),
         "ready_table": lambda: drain(feed.ready_table(feed_cases._normalized(spark, sf))),
         "collapsed_frames": lambda: drain(media_cases.collapsed_frames(spark, sf)),
-        "corrections": lambda: drain(dictionary.corrections(v.query_words(spark, sf), v.dictionary(spark, sf))),
+        "corrections": lambda: drain(dictionary.corrections(asked_words, v.dictionary(spark, sf))),
         "embed_texts": lambda: drain(enrich.embed_texts(vectors.wanted_embeddings(files))),
     }
     for name, job in jobs.items():

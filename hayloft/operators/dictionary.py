@@ -1,8 +1,15 @@
 """Word dictionaries: edit-distance neighbours, prefixes, correction and splitting of unknown words.
 
-A dictionary is ``(lang, word, freq)``. Neighbours are found by equal deletion variants: two words
-within distance d share a string that arises from each by deleting at most d letters. That is an
-equi-join of two sets of distinct words, verified by ``levenshtein``; no word meets every other word.
+A dictionary is ``(lang, word, freq)``. Neighbours are found by equi-joins of distinct words, verified by
+``levenshtein``; no word meets every other word.
+
+* A dictionary word is cut into d + 1 pieces of nearly equal length. Of a word within distance d one piece is left whole
+  (there are more pieces than edits), at a place that the edits left and right of it can have moved by no more than
+  their number. So a word asks, for each length a neighbour can have and each piece, for a few of its own substrings:
+  a number that depends on d, not on the word. Rows and bytes are linear in the length of the words.
+* Pieces of dictionary words shorter than ``PIECE_LETTERS`` x (d + 1) letters would be common to too many words. These words are found by
+  equal deletion variants: two words within distance d share a string that arises from each by deleting at most d letters.
+  A short word has few of them.
 """
 
 from __future__ import annotations
@@ -12,6 +19,9 @@ from pyspark.sql import functions as F
 
 from hayloft.session import broadcast_if_small
 
+# Letters of a piece from which on words are found by pieces.
+PIECE_LETTERS = 3
+
 
 def _one_deletion(word: Column) -> Column:
     places = F.sequence(F.lit(1), F.length(word))
@@ -27,19 +37,60 @@ def deletion_variants(word: Column, distance: int) -> Column:
     return reached
 
 
-def near_words(words: DataFrame, dictionary: DataFrame, distance: int) -> DataFrame:
-    """(lang, word, candidate, freq, distance): dictionary words within ``distance`` of each word.
-
-    ``words(lang, word)`` are distinct. A pair sharing several variants is verified once.
-    """
+def _by_variants(words: DataFrame, dictionary: DataFrame, distance: int) -> DataFrame:
+    """Pairs (lang, word, candidate, freq) that share a deletion variant."""
     left = words.select("lang", "word", F.explode(deletion_variants(F.col("word"), distance)).alias("_v"))
     right = dictionary.select(
         "lang", F.col("word").alias("candidate"), "freq", F.explode(deletion_variants(F.col("word"), distance)).alias("_v")
     )
-    pairs = left.join(right, ["lang", "_v"]).drop("_v")
     close = F.abs(F.length("word") - F.length("candidate")) <= distance
+    return left.join(right, ["lang", "_v"]).where(close).drop("_v")
+
+
+def pieces(length: Column, distance: int) -> Column:
+    """(i, start, size) of the ``distance + 1`` pieces of a word of that length; the last ones are a letter longer."""
+    n = distance + 1
+    base, short = F.floor(length / n).cast("int"), n - length % n
+    return F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("i"),
+                (base * i + F.greatest(F.lit(0), F.lit(i) - short)).cast("int").alias("start"),
+                (base + F.when(F.lit(i) >= short, 1).otherwise(0)).cast("int").alias("size"),
+            )
+            for i in range(n)
+        ]
+    )
+
+
+def _by_pieces(words: DataFrame, dictionary: DataFrame, distance: int) -> DataFrame:
+    """Pairs (lang, word, candidate, freq) where a piece of the candidate stands whole in the word, near its place."""
+    whole = F.explode(pieces(F.length("candidate"), distance)).alias("p")
+    right = dictionary.select("lang", F.col("word").alias("candidate"), "freq").select("lang", "candidate", "freq", whole)
+    right = right.select("lang", "candidate", "freq", F.length("candidate").alias("_n"), F.col("p.i").alias("_i"), F.expr("substring(candidate, p.start + 1, p.size)").alias("_piece"))
+
+    lengths = F.explode(F.sequence(F.greatest(F.length("word") - distance, F.lit(distance + 1)), F.length("word") + distance)).alias("_n")
+    asked = words.select("lang", "word", lengths).select("lang", "word", "_n", F.explode(pieces(F.col("_n"), distance)).alias("p"))
+    # i edits at most stand before piece i, so that distance - i may follow; or else a piece further on is whole, too
+    shift, i, start = F.length("word") - F.col("_n"), F.col("p.i"), F.col("p.start")
+    low = F.greatest(start - i, start + shift - (distance - i), F.lit(0))
+    high = F.least(start + i, start + shift + (distance - i), F.length("word") - F.col("p.size"))
+    at = F.explode(F.sequence(low, high)).alias("_at")
+    left = asked.where(high >= low).select("lang", "word", "_n", "p", at)
+    left = left.select("lang", "word", "_n", F.col("p.i").alias("_i"), F.expr("substring(word, _at + 1, p.size)").alias("_piece")).distinct()
+    return left.join(right, ["lang", "_n", "_i", "_piece"]).select("lang", "word", "candidate", "freq")
+
+
+def near_words(words: DataFrame, dictionary: DataFrame, distance: int, piece_letters: int = PIECE_LETTERS) -> DataFrame:
+    """(lang, word, candidate, freq, distance): dictionary words within ``distance`` of each word.
+
+    ``words(lang, word)`` are distinct. A pair that meets several times is verified once.
+    """
+    short = max(piece_letters, 1) * (distance + 1)  # shorter dictionary words are found by variants
+    variants = _by_variants(words.where(F.length("word") < short + distance), dictionary.where(F.length("word") < short), distance)
+    whole = _by_pieces(words.where(F.length("word") >= short - distance), dictionary.where(F.length("word") >= short), distance)
     return (
-        pairs.where(close)
+        variants.unionByName(whole)
         .distinct()
         .withColumn("distance", F.levenshtein("word", "candidate", distance))
         .where("distance >= 0")

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from hayloft.operators import dictionary, quality
 
 
@@ -26,6 +28,35 @@ def test_near_words_finds_all_pairs(spark):
         assert got == {(x, y): distance(x, y) for x in a for y in b if distance(x, y) <= d}
 
 
+def test_near_words_by_pieces(spark):
+    """Long words over few letters, so that pieces repeat in place and out of place; every length of piece."""
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abé") for _ in range(rng.randint(3, 22))) for _ in range(40)]
+
+    def edited(w):
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(w) + 1)
+            w = rng.choice([w[:k] + w[k + 1 :], w[:k] + rng.choice("abé") + w[k:], w[:k] + rng.choice("abé") + w[k + 1 :]])
+        return w
+
+    a, b = sorted({edited(w) for w in base * 4}), sorted({edited(w) for w in base} | {"", "a", "ab"})
+    left = spark.createDataFrame([("x", w) for w in a] + [("y", b[5])], "lang string, word string")
+    right = spark.createDataFrame([("x", w, 1.0) for w in b], "lang string, word string, freq double")
+    for d, letters in ((1, 1), (2, 1), (2, 2), (3, 1), (2, 100)):
+        rows = dictionary.near_words(left, right, d, letters).collect()
+        assert len(rows) == len({(r.word, r.candidate) for r in rows})
+        assert {(r.word, r.candidate): r.distance for r in rows} == {(x, y): distance(x, y) for x in a for y in b if distance(x, y) <= d}
+
+
+def test_a_long_word_asks_for_a_number_of_pieces_that_does_not_grow(spark):
+    words = spark.createDataFrame([("x", "ab" * n) for n in (10, 100, 1000)], "lang string, word string")
+    known = spark.createDataFrame([("x", "ab" * n + "c", 1.0) for n in (10, 100, 1000)], "lang string, word string, freq double")
+    pairs = dictionary.near_words(words, known, 2)
+    assert sorted((len(r.word), r.distance) for r in pairs.collect()) == [(20, 1), (200, 1), (2000, 1)]
+    cells = words.selectExpr("length(word) as n").select("n", dictionary.pieces(F.col("n"), 2).alias("p")).collect()
+    assert all(len(r.p) == 3 and sum(x.size for x in r.p) == r.n and [x.start for x in r.p] == [0, r.p[0].size, r.p[0].size + r.p[1].size] for r in cells)
+
+
 def test_prefixes(spark):
     known = spark.createDataFrame([("x", w, 1.0) for w in ("car", "cat", "dog")], "lang string, word string, freq double")
     asked = spark.createDataFrame([("x", w) for w in ("cat", "ca", "cow", "zoo")], "lang string, word string")

@@ -18,16 +18,16 @@ def _bytes(column: str) -> str:
     return f"translate({column}, '{_WIDE}', '{_NARROW}')"
 
 
-_NEAR = f""", slim as (select lang, word, freq, {_bytes('word')} as b, length(word) as n from dictionary where lang = 'en')"""
+_NEAR = f""", slim as (select lang, word, freq, {_bytes('word')} as b, length(word) as n from dictionary)"""
 _DELETIONS = """, asked as (select lang, word, {0} as b, length(word) as n from query_words)"""
 _PAIRS = _NEAR + _DELETIONS.format(_bytes("word")) + """, near as (
     select q.lang, q.word, d.word as candidate, d.freq, levenshtein(q.b, d.b) as distance
-    from asked q join slim d on d.n between q.n - 2 and q.n + 2 where levenshtein(q.b, d.b) <= 2)"""
+    from asked q join slim d on d.lang = q.lang and d.n between q.n - 2 and q.n + 2 where levenshtein(q.b, d.b) <= 2)"""
 
 
-@query("j6_near_words", v.sql(_PAIRS + " select word, candidate, distance::INT as distance from near", "dictionary", "query_words"))
+@query("j6_near_words", v.sql(_PAIRS + " select lang, word, candidate, distance::INT as distance from near", "dictionary", "query_words"))
 def near_words(spark, sf):
-    return dictionary.near_words(v.query_words(spark, sf), v.dictionary(spark, sf), 2).select("word", "candidate", "distance")
+    return dictionary.near_words(v.query_words(spark, sf), v.dictionary(spark, sf), 2).select("lang", "word", "candidate", "distance")
 
 
 @query(
@@ -58,10 +58,10 @@ def next_characters(spark, sf):
     return dictionary.next_characters(v.dictionary(spark, sf))
 
 
-_UNKNOWN = _PAIRS + """, unknown as (select lang, word from query_words where word not in (select word from slim)),
+_UNKNOWN = _PAIRS + """, unknown as (select lang, word from query_words anti join slim using (lang, word)),
   fixes as (select lang, word, candidate, distance, round(ln(freq), 9) as score from near
-    where word in (select word from unknown) and (distance = 1 or (distance = 2 and length(word) >= 4))
-    qualify row_number() over (partition by word order by round(ln(freq), 9) desc, distance, candidate) = 1)"""
+    semi join unknown using (lang, word) where distance = 1 or (distance = 2 and length(word) >= 4)
+    qualify row_number() over (partition by lang, word order by round(ln(freq), 9) desc, distance, candidate) = 1)"""
 
 
 @query(
@@ -74,14 +74,15 @@ def corrections(spark, sf):
 
 _SPLITS = _UNKNOWN + f""", cuts as (select lang, word, cut, substr(word, 1, cut) as first, substr(word, cut + 1) as second
     from (select lang, word, unnest(range(2, length(word) - 2)) as cut from unknown where length(word) >= 5)),
-  parts as (select first as part from cuts union select second from cuts),
-  close as (select p.part, d.word, ln(d.freq) as s from parts p join slim d on d.n between length(p.part) - 1 and length(p.part) + 1
-    where levenshtein({_bytes('p.part')}, d.b) = 1 and p.part not in (select word from slim)
-    qualify row_number() over (partition by p.part order by round(ln(d.freq), 9) desc, d.word) = 1),
-  usable as (select p.part, p.part as word, ln(d.freq) as s from parts p join slim d on d.word = p.part union all from close),
+  parts as (select lang, first as part from cuts union select lang, second from cuts),
+  other as (select lang, part, {_bytes('part')} as b, length(part) as n from parts anti join slim on slim.lang = parts.lang and slim.word = parts.part),
+  close as (select p.lang, p.part, d.word, ln(d.freq) as s from other p join slim d on d.lang = p.lang and d.n between p.n - 1 and p.n + 1
+    where levenshtein(p.b, d.b) = 1
+    qualify row_number() over (partition by p.lang, p.part order by round(ln(d.freq), 9) desc, d.word) = 1),
+  usable as (select p.lang, p.part, p.part as word, ln(d.freq) as s from parts p join slim d on d.lang = p.lang and d.word = p.part union all from close),
   halves as (select c.lang, c.word, a.word as first, b.word as second, round(a.s + b.s, 9) as score from cuts c
-    join usable a on a.part = c.first join usable b on b.part = c.second
-    qualify row_number() over (partition by c.word order by round(a.s + b.s, 9) desc, cut) = 1)"""
+    join usable a on a.lang = c.lang and a.part = c.first join usable b on b.lang = c.lang and b.part = c.second
+    qualify row_number() over (partition by c.lang, c.word order by round(a.s + b.s, 9) desc, cut) = 1)"""
 
 
 @query("e6_splits", v.sql(_SPLITS + " select lang, word, first, second, score from halves", "dictionary", "query_words"))
@@ -95,7 +96,7 @@ def splits(spark, sf):
         _SPLITS
         + """ select q.lang, q.word, case when h.score is not null and (f.score is null or h.score > f.score) then h.first || ' ' || h.second
                 else coalesce(f.candidate, q.word) end as replacement
-              from query_words q left join fixes f on f.word = q.word left join halves h on h.word = q.word""",
+              from query_words q left join fixes f on f.lang = q.lang and f.word = q.word left join halves h on h.lang = q.lang and h.word = q.word""",
         "dictionary", "query_words",
     ),
 )

@@ -195,10 +195,12 @@ def dictionary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def query_words(spark: SparkSession, sf: str) -> DataFrame:
-    """(lang, word): distinct tokens of the benchmark queries, as English words."""
+    """(lang, word): tokens of the benchmark queries, as English words, and all tokens of the documents that no dictionary has."""
     from hayloft.functions.text import tokens
 
-    return table(spark, sf, "benchmark").select(F.lit("en").alias("lang"), F.explode(tokens(F.col("text"))).alias("word")).distinct()
+    asked = table(spark, sf, "benchmark").select(F.lit("en").alias("lang"), F.explode(tokens(F.col("text"))).alias("word"))
+    rare = word_counts(spark, sf).where("n < 5").select("lang", "word")
+    return asked.unionByName(rare).distinct()
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -441,7 +443,10 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         ("word_counts",),
         "select lang, word, n::DOUBLE / (sum(n) over (partition by lang))::DOUBLE as freq from word_counts where n >= 5",
     ),
-    "query_words": ((), f"select distinct 'en' as lang, word from (select unnest({TOKENS.format('text')}) as word from benchmark)"),
+    "query_words": (
+        ("word_counts",),
+        f"select 'en' as lang, word from (select unnest({TOKENS.format('text')}) as word from benchmark) union select lang, word from word_counts where n < 5",
+    ),
     "pairs": (
         (),
         """select a.conv_id * 1000 + a.turn as id, a.conv_id, a.text as ref, b.text as hyp
