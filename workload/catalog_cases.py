@@ -405,16 +405,18 @@ def media_times(spark, sf):
     r"""select page_id, regexp_matches(lower(report), 'stream.+?video') as film, regexp_matches(lower(report), 'div.+?p') as marked,
           case when regexp_matches(lower(report), 'stream.+?video') then 'video' when regexp_matches(lower(report), 'stream.+?audio') then 'audio' else 'other' end as kind
         from (select page_id, case page_id % 4 when 0 then 'Stream #0:0: Video: ' || url when 1 then 'stream #0:1(und): AUDIO: ' || url
-                when 2 then 'Video before Stream' else html end as report from pages)""",
+                when 2 then 'Video before Stream' else '' end || ' ' || html as report from pages)""",
 )
 def stream_kinds(spark, sf):
+    """The html of every page, after a line such as media tools print."""
     sort = F.col("page_id") % 4
     report = (
         F.when(sort == 0, F.concat(F.lit("Stream #0:0: Video: "), "url"))
         .when(sort == 1, F.concat(F.lit("stream #0:1(und): AUDIO: "), "url"))
         .when(sort == 2, "Video before Stream")
-        .otherwise(F.col("html"))
+        .otherwise("")
     )
+    report = F.concat(report, F.lit(" "), "html")
     return v.table(spark, sf, "pages").select(
         "page_id", text.has_stream(report, "video").alias("film"), report.rlike("(?i)div.+?p").alias("marked"), text.stream_kind(report).alias("kind")
     )

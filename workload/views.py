@@ -131,16 +131,15 @@ def clip_query_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def edits(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as an edit log over the files."""
+    """Events as an edit log over the files; purchases edit one field after the other."""
     events = table(spark, sf, "events")
     op = {"click": "description", "view": "transcript", "error": "ocr", "signup": "screenshot"}
-    named = reduce(lambda acc, kv: acc.when(F.col("event_type") == kv[0], kv[1]), op.items(), F)
-    value = F.when(F.col("event_type") == "signup", F.when(F.col("value") > 10, "true").otherwise("false")).otherwise(
+    turns = F.element_at(F.array(*[F.lit(x) for x in op.values()]), (F.col("event_id") % 4 + 1).cast("int"))
+    named = reduce(lambda acc, kv: acc.when(F.col("event_type") == kv[0], kv[1]), op.items(), F).otherwise(turns)
+    value = F.when(F.col("op") == "screenshot", F.when(F.col("value") > 10, "true").otherwise("false")).otherwise(
         F.concat(F.lit("  "), "props", F.lit("\n"))
     )
-    return events.select(F.col("event_id").alias("seq"), F.col("user_id").alias("item_id"), named.alias("op"), value.alias("value")).where(
-        "op is not null"
-    )
+    return events.withColumn("op", named).select(F.col("event_id").alias("seq"), F.col("user_id").alias("item_id"), "op", value.alias("value"))
 
 
 def changes(spark: SparkSession, sf: str) -> DataFrame:
@@ -419,10 +418,11 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     # --- logs
     "edits": (
         (),
-        """select event_id as seq, user_id as item_id,
-             case event_type when 'click' then 'description' when 'view' then 'transcript' when 'error' then 'ocr' when 'signup' then 'screenshot' end as op,
-             case when event_type = 'signup' then case when value > 10 then 'true' else 'false' end else '  ' || props || chr(10) end as value
-           from events where event_type in ('click', 'view', 'error', 'signup')""",
+        """select seq, item_id, op, case when op = 'screenshot' then case when value > 10 then 'true' else 'false' end else '  ' || props || chr(10) end as value
+           from (select event_id as seq, user_id as item_id, value, props,
+                   case event_type when 'click' then 'description' when 'view' then 'transcript' when 'error' then 'ocr' when 'signup' then 'screenshot'
+                     else case event_id % 4 when 0 then 'description' when 1 then 'transcript' when 2 then 'ocr' else 'screenshot' end end as op
+                 from events)""",
     ),
     "changes": (
         (),
