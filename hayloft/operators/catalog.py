@@ -178,7 +178,7 @@ def default_positions(files: DataFrame) -> DataFrame:
         (-F.col("id")).alias("item_id"),
         "id",
     )
-    return spread_rank(rows, ("_list",), cell_width=86_400_000_000.0).select("id", (F.col("rank") - 1).alias("position"))
+    return spread_rank(rows, ("_list",)).select("id", (F.col("rank") - 1).alias("position"))
 
 
 def position_of(files: DataFrame, file_id: int) -> DataFrame:

@@ -14,7 +14,12 @@ from hayloft.functions.scoring import settled
 # A list proven to stay below this length is ranked by one window task; longer ones are spread.
 WINDOW_ROWS = 2_000_000
 _ID_SPAN = 65_536
-_CELL_WIDTH = 1 / 64
+# A list is cut into so many cells of equal depth; a power of two. The sketch that finds their borders is off by one row in
+# ``_SKETCH``, so a cell holds 1 / CELLS + 1 / _SKETCH of its list's rows at most, not counting equal scores.
+CELLS = 1024
+_SKETCH = 16_384
+# Borders of up to so many lists are broadcast: eight bytes x CELLS each.
+_BORDER_LISTS = 2_000
 
 
 def rank(results: DataFrame, keys: Sequence[str] = ("query_id",), limit: int | None = None, list_bound: int | None = None) -> DataFrame:
@@ -32,20 +37,40 @@ def rank(results: DataFrame, keys: Sequence[str] = ("query_id",), limit: int | N
     return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
-def spread_rank(
-    results: DataFrame, keys: Sequence[str] = ("query_id",), id_span: int = _ID_SPAN, cell_width: float = _CELL_WIDTH
-) -> DataFrame:
+def cell_borders(results: DataFrame, keys: Sequence[str] = ("query_id",), cells: int = CELLS) -> DataFrame:
+    """(keys, _borders): scores that cut each list into ``cells`` parts of about equally many rows.
+
+    They come from a quantile sketch, which is built by every task and merged: a few thousand numbers for
+    each list, however long it is.
+    """
+    shares = F.array(*[F.lit(i / cells) for i in range(1, cells)])
+    return results.groupBy(*keys).agg(F.percentile_approx("score", shares, _SKETCH).alias("_borders"))
+
+
+def with_cells(results: DataFrame, borders: DataFrame, keys: Sequence[str] = ("query_id",), cells: int = CELLS) -> DataFrame:
+    """``results`` with ``_cell``: how many of its list's borders lie below a row's score, by bisection."""
+    small = borders.limit(_BORDER_LISTS + 1).count() <= _BORDER_LISTS
+    found = results.join(F.broadcast(borders) if small else borders, list(keys)).withColumn("_cell", F.lit(0))
+    step = cells // 2
+    while step:
+        below = F.element_at("_borders", F.col("_cell") + step) < F.col("score")
+        found = found.withColumn("_cell", F.when(below, F.col("_cell") + step).otherwise(F.col("_cell")))
+        step //= 2
+    return found.drop("_borders")
+
+
+def spread_rank(results: DataFrame, keys: Sequence[str] = ("query_id",), id_span: int = _ID_SPAN, cells: int = CELLS) -> DataFrame:
     """Exact rank of arbitrarily long lists from counts, without ordering a list in one task.
 
     A row's rank is the number of rows in better places plus its place among its neighbours. Places
-    are nested: coarse score cell, exact score, range of item ids. Counts per place are aggregated
+    are nested: cell between borders of equal depth, exact score, range of item ids. Counts per place are aggregated
     map-side; only rows of one place meet in a task, at most ``id_span`` as item ids are unique.
-    A third of all rows sharing one score (copies) is thereby cut by item id.
+    A third of all rows sharing one score (copies) is thereby cut by item id, and scores of any scale, also
+    the crowded ones of rank fusion, by the borders. Null scores have no rank and are left out.
     """
     keys = list(keys)
-    placed = results.withColumn("_cell", F.floor(F.col("score") / cell_width)).withColumn(
-        "_span", F.floor(F.col("item_id") / id_span)
-    )
+    results = results.where(F.col("score").isNotNull())
+    placed = with_cells(results, cell_borders(results, keys, cells), keys, cells).withColumn("_span", F.floor(F.col("item_id") / id_span))
     fine = placed.groupBy(*keys, "_cell", "score", "_span").agg(F.count("*").alias("_n"))
     coarse = fine.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_cell_n"))
     better_cells = Window.partitionBy(*keys).orderBy(F.col("_cell").desc()).rowsBetween(Window.unboundedPreceding, -1)

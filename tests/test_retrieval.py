@@ -79,6 +79,27 @@ def test_spread_rank_equals_window_rank(spark):
     assert a.exceptAll(b).count() == 0 and a.count() == b.count()
 
 
+def crowded(spark, n=20_000):
+    """Lists on very different scales: fused scores of ranks, large scores, one score a third of the time."""
+    fused = F.round(1 / (60 + F.col("id")), 9)
+    score = F.when(F.col("id") % 3 == 0, F.lit(0.25)).when(F.col("id") % 7 == 0, F.col("id") * 1e6).otherwise(fused)
+    rows = spark.range(n).select(F.lit(1).alias("query_id"), F.col("id").alias("item_id"), score.cast("double").alias("score"))
+    return rows.unionByName(spark.range(n // 4).select(F.lit(2).alias("query_id"), F.col("id").alias("item_id"), fused.cast("double").alias("score")))
+
+
+def test_cells_have_equal_depth_on_any_scale(spark):
+    df = crowded(spark)
+    for cells in (16, 256):
+        placed = fusion.with_cells(df, fusion.cell_borders(df, cells=cells), cells=cells)
+        depth = placed.groupBy("query_id", "_cell").agg(F.count("*").alias("rows"), F.count_distinct("score").alias("scores"))
+        lengths = {r.query_id: r.n for r in df.groupBy("query_id").agg(F.count("*").alias("n")).collect()}
+        for r in depth.collect():
+            # one score cannot be cut by scores; ids cut it afterwards
+            assert r.scores <= lengths[r.query_id] * (1 / cells + 2 / fusion._SKETCH) + 2, r
+    a, b = fusion.rank(df, list_bound=20_000), fusion.spread_rank(df, id_span=64, cells=64)
+    assert a.exceptAll(b).count() == 0 and a.count() == b.count()
+
+
 def test_rank_limit_is_a_prefix(spark):
     df = results(spark)
     whole = fusion.rank(df, list_bound=3000).where("rank <= 7")
