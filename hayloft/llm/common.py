@@ -17,7 +17,7 @@ from hayloft.session import work_dir
 # Words are runs of anything but ASCII white space: [^\x20\x09-\x0D]+
 GAP = "[ \\t-\\r]+"
 # Python tasks work on slices of about so many bytes of text, whatever the Arrow batch holds.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 3_000_000
 
 U64 = np.uint64
 
