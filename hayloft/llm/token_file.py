@@ -37,7 +37,7 @@ CONTEXTS = 4096  # entries of an order's table in a block
 FULL = 4096  # probabilities are out of this
 SPECIAL = "<|endoftext|>"
 CACHED_WORDS = 200_000
-ENCODED_AT_ONCE = 10_000  # words; the tokenizer keeps strings and places of all their pieces
+ENCODED_AT_ONCE = 4_000  # words; the tokenizer keeps strings and places of all their pieces
 
 
 class Words:
@@ -319,9 +319,10 @@ def _chunks(path: str):
             chunk, waiting = chunk + 1, 0
             for x in (docs, lengths, held):
                 x.clear()
+            release()
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], ["part", "chunk", "n_ids", "doc_ids", "lengths", "blocks"])
 
-        for batch in slices(batches, "text", 2_000_000):
+        for batch in slices(batches, "text", 1_000_000):
             ids, sizes = words.encode(batch.column("text"))
             names, begin = batch.column("doc_id").to_pylist(), 0
             for name, size in zip(names, sizes.tolist()):
