@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from hayloft.functions import text
 from hayloft.operators import catalog, dictionary, enrich, lexical, vectors
-from hayloft.plans import search, similar
+from hayloft.plans import pages, search, similar
 from hayloft.session import local_session, work_dir
 from hayloft.sources import tables
 from hayloft.streaming import feed
@@ -41,6 +41,7 @@ def main() -> None:
 
     def build_vectors():
         tables.write_vectors(v.store(spark, sf), root)
+        tables.write_item_vectors(tables.read_vectors(spark, root), root)
 
     timings: dict[str, list[float]] = {}
 
@@ -59,7 +60,7 @@ def main() -> None:
     measure("build_vectors", build_vectors, 1)
 
     files = tables.read_catalog(spark, root)
-    corpus = search.Corpus(files, tables.read_index(spark, root), tables.read_vectors(spark, root))
+    corpus = search.Corpus(files, tables.read_index(spark, root), tables.read_vectors(spark, root), tables.read_item_vectors(spark, root))
     bound = files.count()
     base = v.base_queries(spark, sf)
     text_vectors, clip_vectors = v.query_vectors(spark, sf, base), v.clip_query_vectors(spark, sf)
@@ -84,7 +85,7 @@ def main() -> None:
 
     def one_query():
         one = raw.where("query_id = 0")
-        drain(search.search(corpus, one, text_vectors.where("query_id = 0"), clip_vectors.where("query_id = 0"), profile, limit=10, list_bound=bound))
+        drain(pages.search_page(corpus, one, text_vectors.where("query_id = 0"), clip_vectors.where("query_id = 0"), profile, limit=10))
 
     asked_words = base.select(F.lit("en").alias("lang"), F.explode(text.tokens(F.col("query_text"))).alias("word")).distinct()
     seeds = files.select(F.col("id").alias("seed_id"))
