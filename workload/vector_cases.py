@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from hayloft import schemas as S
 from hayloft.functions import scoring
-from hayloft.operators import fusion, vectors
+from hayloft.operators import balls, fusion, vectors
 from hayloft.plans import similar
 from hayloft.plans.search import confidence_profile
+from hayloft.session import work_dir
+from hayloft.sources import tables
 from workload import lexical_cases as lex
 from workload import views as v
 from workload.registry import query, shown
@@ -393,6 +395,37 @@ def neighbours(spark, sf):
     return similar.neighbours(store, "C", 10)
 
 
+def _in_balls(vectors_of_kinds):
+    root = work_dir(vectors_of_kinds.sparkSession, "ball-store")
+    tables.write_balls(vectors_of_kinds, root)
+    return tables.read_balls(vectors_of_kinds.sparkSession, root)
+
+
+@query("v2_multi_vector_balls", v.sql("select query_id, item_id, score from sims where kind = 'V' qualify row_number() over (partition by query_id order by score desc, item_id) <= 20", "sims"))
+def multi_vector_balls(spark, sf):
+    """``v2_multi_vector_search`` by balls of frames."""
+    asked = v.clip_query_vectors(spark, sf).withColumn("kind", F.lit("V"))
+    return balls.nearest(_in_balls(v.pixel_vectors(spark, sf)), asked, K).drop("kind")
+
+
+@query("v1_vector_balls", v.sql("select query_id, kind, item_id, score from sims where kind in ('D', 'O', 'T') qualify row_number() over (partition by query_id, kind order by score desc, item_id) <= 20", "sims"))
+def vector_balls(spark, sf):
+    """The best of three kinds of text by balls."""
+    return balls.nearest(_in_balls(v.text_vectors(spark, sf)), _asked(spark, sf, "D", "O", "T"), K)
+
+
+@query(
+    "n6_neighbours_balls",
+    """select a.vec_id as seed_id, b.vec_id as item_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) + 0.0 as score,
+         row_number() over (partition by a.vec_id order by round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) desc, b.vec_id) as rank
+       from embeddings a, embeddings b qualify rank <= 10""",
+)
+def neighbours_balls(spark, sf):
+    """``n6_neighbours`` by balls."""
+    store = v.table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.lit("C").alias("kind"), F.col("embedding").alias("vec"))
+    return similar.neighbours(_in_balls(store), "C", 10)
+
+
 @query(
     "u3_self_first",
     v.sql(
