@@ -108,6 +108,8 @@ def scored(docs: DataFrame, ratio: DataFrame, buckets: int = BUCKETS, threshold:
         repeated.alias("n_repeat_words"),
         F.aggregate(F.concat("one", "two"), F.lit(0.0), lambda s, x: s + F.get("ratios", F.pmod(x, F.lit(buckets)).cast("int"))).alias("total"),
     )
+    # a filter on the verdict would be pushed into the expressions above and repeat them for every word: the counts are written first
+    with_sums = stored(with_sums, "quality-counts")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     score = F.when(F.col("n_words") > 0, F.col("total") / (2 * F.col("n_words") - 1)).otherwise(0.0)
     return (
