@@ -88,20 +88,43 @@ def embed_queries(queries: DataFrame, text_col: str = "query_text", model_factor
     return queries.select("query_id", embed_column(F.col(text_col), model_factory, "query", affixes).alias("vec"))
 
 
-def run_model(work: DataFrame, content: str, model_factory: Callable[[], Callable[[object], str | None]]) -> DataFrame:
-    """(id, text, error): one model call per row of a work list; a failure is a row, not a failed job."""
+MODEL_BATCH = 32
+
+
+def _answers(model, values: Sequence, size: int) -> Iterator[tuple[str | None, str | None]]:
+    """(text, error) of each value. A batch that fails, or whose answers do not fit, is asked again one by one."""
+    many = getattr(model, "many", None)
+    for lo in range(0, len(values), size):
+        part = values[lo : lo + size]
+        if many is not None:
+            try:
+                texts = list(many(part))
+            except Exception:  # noqa: BLE001 - the single calls below name the row
+                texts = []
+            if len(texts) == len(part):
+                yield from ((text, None) for text in texts)
+                continue
+        for value in part:
+            try:
+                yield model(value), None
+            except Exception as failure:  # noqa: BLE001 - any model error belongs to its row
+                yield None, f"{type(failure).__name__}: {failure}"
+
+
+def run_model(
+    work: DataFrame, content: str, model_factory: Callable[[], Callable[[object], str | None]], batch_size: int = MODEL_BATCH
+) -> DataFrame:
+    """(id, text, error) for each row of a work list; a failure is a row, not a failed job.
+
+    A model with a method ``many`` gets up to ``batch_size`` values at once and returns a text or null for each;
+    any other is called per row.
+    """
 
     def infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = model_factory()
         for batch in batches:
-            texts, errors = [], []
-            for value in batch["content"]:
-                try:
-                    texts.append(model(value))
-                    errors.append(None)
-                except Exception as failure:  # noqa: BLE001 - any model error belongs to its row
-                    texts.append(None)
-                    errors.append(f"{type(failure).__name__}: {failure}")
+            found = list(_answers(model, batch["content"].tolist(), batch_size))
+            texts, errors = [t for t, _ in found], [e for _, e in found]
             yield pd.DataFrame({"id": batch["id"], "text": pd.Series(texts, dtype=object), "error": pd.Series(errors, dtype=object)})
 
     return work.select("id", F.col(content).alias("content")).mapInPandas(infer, "id long, text string, error string")

@@ -109,6 +109,28 @@ def test_model_failure_is_a_row(spark):
     assert got == {1: ("text", False), 2: (None, True)}
 
 
+def test_model_gets_batches_and_a_bad_value_fails_alone(spark):
+    class Model:
+        def many(self, values):
+            return [self(v) + f"/{len(values)}" for v in values]
+
+        def __call__(self, value):
+            return {"bad": None}.get(value, value).upper()
+
+    rows = [(i, f"v{i}") for i in range(10)] + [(10, "bad"), (11, "v11")]
+    work = spark.createDataFrame(rows, "id long, content string").coalesce(1)
+    got = {r.id: (r.text, r.error is not None) for r in enrich.run_model(work, "content", Model, 5).collect()}
+    want = {i: (f"V{i}/5", False) for i in range(10)} | {10: (None, True), 11: ("V11", False)}
+    assert got == want
+
+    class Short(Model):
+        def many(self, values):
+            return values[:1]
+
+    assert {r.id: r.text for r in enrich.run_model(work.where("id < 3"), "content", Short, 5).collect()} == {0: "V0", 1: "V1", 2: "V2"}
+    assert enrich.run_model(work.limit(0), "content", Model).count() == 0
+
+
 def test_prefixes_by_mode(spark):
     seen = lambda: lambda texts: [[float(len(t))] for t in texts]
     df = spark.createDataFrame([("abc",), (None,)], "t string")
