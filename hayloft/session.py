@@ -39,6 +39,14 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once and stored in the shared folder, its partitions and their order kept."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(work_dir(df.sparkSession, "checkpoints"))
+    return df.checkpoint()
+
+
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """True when ``df`` has at most ``max_rows`` rows; reads no more than one row beyond."""
     return df.limit(max_rows + 1).count() <= max_rows

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from hayloft import schemas as S
+from hayloft.session import checkpointed
 
 RELEASED = "path string, op string, seq long, ready_at timestamp"
 _WAIT_US = int(S.CREATE_WAIT_SECONDS * 1_000_000)
@@ -172,20 +173,130 @@ def ready_stream(normalized: DataFrame, delay: str = "5 seconds", legacy: bool =
     )
 
 
-def ready_table(normalized: DataFrame, legacy: bool = False) -> DataFrame:
-    """Batch twin of ``ready_stream`` over a complete log.
+# --- the detector over a complete log, one path's events in many tasks ------------------------------
+
+_EVENT = ["path", "at", "seq", "last", "op", "ready"]
+_OUTCOME = "pending boolean, opened boolean, closed boolean, until long, to_at long, to_seq long, to_opened boolean, to_closed boolean"
+_SUMMARY = f"piece int, first string, last string, outcomes array<struct<{_OUTCOME}>>"
+_JOINT = "piece int, in_at long, in_seq long, in_opened boolean, in_closed boolean, ends boolean"
+_CARRIED = -2  # number that stands for the create pending when a stretch begins, whichever it is
+_NEVER = 2**62
+
 
-    Paths are dealt to tasks and walked in time order as a sorted run, one event at a time: a path
-    with a third of all events passes through its task without being held in memory.
+@dataclass(frozen=True)
+class Start:
+    """A class of states before a stretch that all end alike; ``pending`` is none where any state will do.
+
+    A create that waits unopened belongs to the class with the smallest ``until`` not before its time.
     """
-    ordered = (
-        normalized.select("path", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "seq", "op", "ready")
-        .repartition("path")
-        .sortWithinPartitions("path", "at", "seq", F.col("op") != "deleted")
-    )
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        path, watch = None, Watch()
+    pending: bool | None = None
+    opened: bool = False
+    closed: bool = False
+    until: int = _NEVER
+
+    def holds(self, watch: Watch) -> bool:
+        if self.pending is None:
+            return True
+        same = (self.pending, self.opened, self.closed) == (watch.pending_at is not None, watch.opened, watch.closed)
+        return same and (watch.pending_at is None or watch.pending_at <= self.until)
+
+
+class Stretch:
+    """What consecutive events of one path make of every state the path may have before them.
+
+    The states a path may be in are advanced side by side, equal ones as one: any delete leaves one.
+    Only the time of a create that waits unopened can matter beyond its class, and only against events
+    of its first second, so a class is cut where such an event comes after the wait: at most once for each
+    event of that second.
+    """
+
+    def __init__(self, fresh: bool, legacy: bool = False):
+        self.legacy, self.begin = legacy, None
+        self.live: dict[Watch, list[Start]] = {Watch(): [Start()]}
+        if not fresh:
+            flags = [(o, c) for o in (False, True) for c in (False, True)]
+            self.live = {Watch(None, None, o, c): [Start(False, o, c)] for o, c in flags}
+            self.live |= {Watch(_NEVER, _CARRIED, o, c): [Start(True, o, c)] for o, c in flags}
+
+    def add(self, op: str, at: int, seq: int, ready: bool) -> None:
+        self.begin = at if self.begin is None else self.begin
+        after: dict[Watch, list[Start]] = {}
+        for watch, starts in self.live.items():
+            waits = watch.pending_seq == _CARRIED and not watch.opened
+            if waits:  # creates of this class that waited long enough were released before this event
+                expired = [replace(s, until=at - _WAIT_US) for s in starts]
+                gone = replace(watch, pending_at=None, pending_seq=None)
+                after.setdefault(advance(gone, op, at, seq, ready, self.legacy)[0], []).extend(expired)
+                if at - _WAIT_US >= self.begin:  # no create can be later than the stretch
+                    continue
+            after.setdefault(advance(watch, op, at, seq, ready, self.legacy)[0], []).extend(starts)
+        if len(after) == 1:
+            after = {watch: [Start()] for watch in after}
+        self.live = after
+
+    def outcomes(self) -> list[tuple[Start, Watch]]:
+        pairs = [(start, watch) for watch, starts in self.live.items() for start in starts]
+        pairs.sort(key=lambda pair: (bool(pair[0].pending), pair[0].opened, pair[0].closed, pair[0].until))
+        # of neighbours that end alike the last stands for all
+        same = lambda a, b: a[1] == b[1] and replace(a[0], until=0) == replace(b[0], until=0)
+        return [pair for pair, following in zip(pairs, [*pairs[1:], None]) if following is None or not same(pair, following)]
+
+    def step(self, before: Watch) -> Watch:
+        return after_stretch(self.outcomes(), before)
+
+
+def after_stretch(outcomes: Iterable[tuple[Start, Watch]], before: Watch) -> Watch:
+    """State after a stretch with these outcomes, those of a class in the order of ``until``."""
+    watch = next(watch for start, watch in outcomes if start.holds(before))
+    return replace(watch, pending_at=before.pending_at, pending_seq=before.pending_seq) if watch.pending_seq == _CARRIED else watch
+
+
+def _summarize(legacy: bool):
+    """One row per piece: its first and last path, and what it makes of the last path's state."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        piece = first = last = stretch = None
+        for events in batches:
+            for number, path, at, seq, op, ready in events.itertuples(index=False):
+                if stretch is None:
+                    piece, first, last, stretch = number, path, path, Stretch(False, legacy)
+                elif path != last:
+                    last, stretch = path, Stretch(True, legacy)
+                stretch.add(op, at, seq, ready)
+        if stretch is not None:
+            outcomes = [
+                dict(zip(("pending", "opened", "closed", "until", "to_at", "to_seq", "to_opened", "to_closed"),
+                         (s.pending, s.opened, s.closed, s.until, *_to_state(w))))
+                for s, w in stretch.outcomes()
+            ]
+            yield pd.DataFrame({"piece": [piece], "first": [first], "last": [last], "outcomes": [outcomes]})
+
+    return run
+
+
+def _link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """From the summaries in the order of the pieces: the state each piece begins with, and whether its last path ends in it."""
+    rows = [r for batch in batches for r in batch.itertuples(index=False)]
+    watch, path, joints = Watch(), None, []
+    for i, row in enumerate(rows):
+        before = watch if i and row.first == path else Watch()
+        ends = i + 1 == len(rows) or rows[i + 1].first != row.last
+        joints.append((row.piece, *_to_state(before), ends))
+        outcomes = [
+            (Start(o["pending"], o["opened"], o["closed"], o["until"]), _from_state((o["to_at"], o["to_seq"], o["to_opened"], o["to_closed"])))
+            for o in row.outcomes
+        ]
+        watch, path = after_stretch(outcomes, before), row.last
+    if joints:
+        yield pd.DataFrame(joints, columns=[c.split()[0] for c in _JOINT.split(", ")])
+
+
+def _walk(legacy: bool):
+    """Releases of a piece's events, from the state it begins with."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        path, watch, ends, begun = None, Watch(), True, False
 
         def finish() -> list[tuple]:
             due = watch.deadline()
@@ -193,18 +304,40 @@ def ready_table(normalized: DataFrame, legacy: bool = False) -> DataFrame:
 
         for events in batches:
             rows: list[tuple] = []
-            for p, at, seq, op, ready in events.itertuples(index=False):
-                if p != path:
+            for p, at, seq, op, ready, *joint in events.itertuples(index=False):
+                if not begun:
+                    path, watch, ends, begun = p, _from_state(tuple(joint[:4])), joint[4], True
+                elif p != path:
                     rows += finish()
                     path, watch = p, Watch()
                 watch, releases = advance(watch, op, at, seq, ready, legacy)
                 rows += [(p, *r) for r in releases]
             if rows:
                 yield _release_frame(rows)
-        if rows := finish():
+        if ends and (rows := finish()):
             yield _release_frame(rows)
 
-    return ordered.mapInPandas(walk, RELEASED)
+    return run
+
+
+def ready_table(normalized: DataFrame, legacy: bool = False, pieces: int | None = None) -> DataFrame:
+    """Batch twin of ``ready_stream`` over a complete log.
+
+    The log is cut into ``pieces`` of about equal length in the order of path and time, wherever that
+    falls, so a path with a third of all events lies in a third of the pieces. Each piece tells what it
+    makes of every state its path may come with; one row per piece is then enough to know the state
+    each begins with, and all pieces are walked side by side. Nothing is held in memory but one batch.
+    """
+    events = normalized.select(
+        "path", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "seq", "op", "ready", (F.col("op") != "deleted").alias("last")
+    )
+    ranged = events.repartitionByRange(*([pieces] if pieces else []), *_EVENT).sortWithinPartitions(*_EVENT).drop("last")
+    # both passes must see the same pieces, so they are stored as they are
+    stored = checkpointed(ranged.withColumn("piece", F.spark_partition_id()))
+    summaries = stored.select("piece", "path", "at", "seq", "op", "ready").mapInPandas(_summarize(legacy), _SUMMARY)
+    joints = summaries.repartition(1).sortWithinPartitions("piece").mapInPandas(_link, _JOINT)
+    begun = stored.join(F.broadcast(joints), "piece")  # one row per piece
+    return begun.select("path", "at", "seq", "op", "ready", "in_at", "in_seq", "in_opened", "in_closed", "ends").mapInPandas(_walk(legacy), RELEASED)
 
 
 def run_to_end(stream: DataFrame, target: str, checkpoint: str) -> None:

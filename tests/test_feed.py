@@ -85,6 +85,62 @@ def test_stream_equals_batch_over_many_micro_batches(spark, tmp_path):
     assert released(spark.read.parquet(f"{tmp_path}/out")) == run(spark, events)
 
 
+def plainly(events, legacy=False):
+    """Releases by one walk over each path's events; ``events`` are (at, op, ready), numbered as they come."""
+    watch, out = feed.Watch(), []
+    for seq, (at, op, ready) in enumerate(events):
+        watch, releases = feed.advance(watch, op, at, seq, ready, legacy)
+        out += releases
+    return watch, out
+
+
+def one_path(rng, n, ops):
+    at, out = 0, []
+    for _ in range(n):
+        at += rng.choice([0, 10_000, 300_000, 400_000, 1_000_000, 1_500_000])
+        out.append((at, rng.choice(ops), rng.random() < 0.2))
+    return out
+
+
+def test_a_stretch_knows_the_state_after_it_for_every_state_before():
+    rng = random.Random(2)
+    for trial in range(600):
+        legacy = trial % 3 == 0
+        ops = [["created"], ["created", "created", "created", "opened", "closed"], ["created", "opened", "closed", "deleted", "modified"]][trial % 5 % 3]
+        events = one_path(rng, rng.randrange(2, 40), ops)
+        if trial % 2:
+            events = [(at, op, False) for at, op, _ in events]
+        cut = rng.randrange(1, len(events))
+        before, _ = plainly(events[:cut], legacy)
+        stretch = feed.Stretch(False, legacy)
+        for seq, (at, op, ready) in list(enumerate(events))[cut:]:
+            stretch.add(op, at, seq, ready)
+        assert stretch.step(before) == plainly(events, legacy)[0], (trial, events, cut)
+
+
+def test_one_path_in_many_pieces(spark):
+    rng = random.Random(5)
+    for ops in (["created", "opened", "closed", "deleted"], ["created", "created", "opened", "closed"], ["created"]):
+        hot = [(at / 1e6, op, "/d/hot", None) for at, op, _ in one_path(rng, 400, ops)]
+        rest = [(t, op, path, None) for t, op, path, _ in random_events(3, 200, 20) if op != "moved"]
+        events = feed.normalize(log(spark, hot + rest))
+        whole = released(feed.ready_table(events, pieces=1))
+        assert whole and released(feed.ready_table(events, pieces=9)) == whole
+        assert released(feed.ready_table(events, True, 9)) == released(feed.ready_table(events, True, 1))
+        seen = [("/d/hot", op, round(at / 1e6, 3)) for op, _, at in plainly([(round(t * 1e6), op, False) for t, op, _, _ in hot])[1]]
+        end = plainly([(round(t * 1e6), op, False) for t, op, _, _ in hot])[0].deadline()
+        assert [r for r in whole if r[0] == "/d/hot"] == sorted(seen + ([("/d/hot", "created", round(end / 1e6, 3))] if end is not None else []))
+
+
+def test_the_log_is_cut_evenly_and_an_empty_log_releases_nothing(spark):
+    hot = [(i * 0.4, "created", "/d/hot", None) for i in range(3000)]
+    events = feed.normalize(log(spark, hot))
+    plan = feed.ready_table(events, pieces=6)
+    sizes = [r["count"] for r in plan.groupBy(F.spark_partition_id().alias("piece")).count().collect()]
+    assert len(sizes) >= 4 and max(sizes) < 0.5 * sum(sizes)
+    assert released(feed.ready_table(events.where("false"), pieces=4)) == []
+
+
 def test_live_tables_equal_a_rebuild_and_survive_a_replay(spark, tmp_path):
     everything = frame(spark, catalog_rows(12))
     live = LiveTables(spark, f"{tmp_path}/live", everything.where("id % 2 = 0"))
