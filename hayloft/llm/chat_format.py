@@ -3,10 +3,11 @@
 A turn is written as ``<|role|>``, a line feed, its text, ``<|end|>`` and a line feed. Backslashes in texts
 are doubled and ``<|`` becomes ``<\\|``, so no text can pass for a marker, and reading undoes both.
 
-Prefix sums of turn tokens choose the windows: turns that lie within one stretch of ``budget - history``
-tokens form a window, and a turn across a border has one of its own, longer than the budget only if the
-turn is. A window repeats the system turn and as many last turns of the window before as fit into
-``history`` tokens. Only assistant texts of a window's own turns are under its loss mask, so every target
+Prefix sums of turn tokens choose the windows: turns that lie within one stretch form a window, and a turn
+across a border has one of its own. A stretch has ``budget`` tokens less those of the system turn and
+``history`` (never less than half of what the system turn leaves). A window repeats the system turn and
+as many last turns before it as fit into ``history`` and into what its own turns leave of the budget, so it
+is longer than the budget only if one turn with the system turn is; then it repeats nothing else. Only assistant texts of a window's own turns are under its loss mask, so every target
 is learned once. The prefix sums are made in cells of 1,024 turn numbers, so a long conversation is spread.
 
 Defined cases: null text is empty, null role is an empty role; turns are in the order of turn, role
@@ -68,7 +69,7 @@ def parse(text: str) -> list[tuple[str, str]]:
 
 
 def _turns(conversations: DataFrame) -> DataFrame:
-    """Turns with ``begin`` and ``end``, the tokens of the conversation before and through them."""
+    """Turns with ``begin`` and ``end``, the tokens of the conversation before and through them, and ``charge``, those of its system turn."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     size = F.size(words(F.col("text"))).cast("long") + MARKERS
     cell = F.coalesce(F.floor(F.col("turn") / CELL), F.lit(-(2**62)))
@@ -77,9 +78,12 @@ def _turns(conversations: DataFrame) -> DataFrame:
     before = Window.partitionBy("conv_id").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(F.col("conv_id").alias("c"), F.col("cell").alias("k"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
     inside = F.sum("size").over(Window.partitionBy("conv_id", "cell").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0))
+    # one row per cell, not per turn, meets the system turn of its conversation
+    system = turns.where("role = 'system'").groupBy(F.col("conv_id").alias("s")).agg(F.min_by("size", F.struct("turn", "role", "text")).alias("charge"))
+    cells = cells.join(system, F.col("c").eqNullSafe(F.col("s")), "left").drop("s")
     placed = turns.withColumn("within", inside).join(cells, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("cell") == F.col("k")))
     end = F.col("base") + F.col("within")
-    return placed.select("conv_id", "role", "text", (end - F.col("size")).alias("begin"), end.alias("end"))
+    return placed.select("conv_id", "role", "text", (end - F.col("size")).alias("begin"), end.alias("end"), F.coalesce("charge", F.lit(0)).alias("charge"))
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,21 +111,26 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     ``window`` is the number of tokens before the window's own turns, ``n_repeated`` the number of turns
     it repeats first, ``loss`` the code point ranges of ``text`` to learn.
     """
-    stretch = budget - history
     turns = _turns(conversations)
+    left = F.lit(budget) - F.col("charge")
+    stretch = F.greatest(left - history, F.floor(left / 2), F.lit(1))
     number = F.floor(F.col("begin") / stretch)
     across = number != F.floor((F.col("end") - 1) / stretch)
     turns = turns.withColumn("span", 2 * number + across.cast("long"))
     span = Window.partitionBy("conv_id", "span")
     turns = turns.withColumn("window", F.min("begin").over(span)).withColumn("next", F.max("end").over(span))
-    turn = ["begin", "role", "text"]
+    turn = ["begin", "role", "text", "end"]
     own = turns.select("conv_id", "window", F.struct(*turn, F.lit(True).alias("own")).alias("turn"))
     repeated = turns.where(F.col("next") - F.col("begin") <= history).select("conv_id", F.col("next").alias("window"), F.struct(*turn, F.lit(False).alias("own")).alias("turn"))
     grouped = own.unionByName(repeated).groupBy("conv_id", "window").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
-    grouped = grouped.where(F.exists("turns", lambda t: t["own"]))
+    grouped = grouped.where(F.exists("turns", lambda t: t["own"])).withColumn("next", F.array_max(F.transform("turns", lambda t: t["end"])))
     system = turns.where("role = 'system'").groupBy(F.col("conv_id").alias("c")).agg(F.min_by(F.struct(*turn), F.col("begin")).alias("system"))
     joined = grouped.join(system, F.col("conv_id").eqNullSafe(F.col("c")), "left")
-    with_system = joined.select("conv_id", "window", F.when(F.col("system.begin") < F.col("window"), F.col("system")).alias("system"), "turns")
+    with_system = joined.select("conv_id", "window", "next", F.when(F.col("system.begin") < F.col("window"), F.col("system")).alias("system"), "turns")
+    # the tokens that the system turn and the window's own turns leave, for the last turns before it
+    charged = F.coalesce(F.col("system.end") - F.col("system.begin"), F.lit(0)) + F.col("next") - F.col("window")
+    kept = F.filter("turns", lambda t: t["own"] | (F.col("window") - t["begin"] <= F.lit(budget) - charged))
+    with_system = with_system.select("conv_id", "window", "system", kept.alias("turns"))
     return with_system.mapInArrow(_assemble, SCHEMA)
 
 

@@ -139,12 +139,12 @@ class Mix:
         return schedule(self.sources.select("number", "slots")).join(pieces, ["number", "rank"])
 
     def taken(self) -> DataFrame:
-        """``documents`` with ``taken``, the words of each that the mix takes, repeats counted."""
+        """``documents`` with ``taken``, the words of each that the mix takes, repeats counted, and the first and last slot that hold some."""
         # a stretch of words has one start in its source; documents without words have none
-        sums = self.blocks.groupBy("number", "start").agg(F.sum("n_words").alias("taken"))
+        sums = self.blocks.groupBy("number", "start").agg(F.sum("n_words").alias("taken"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
         at = [F.col("d.number") == F.col("t.number"), F.col("d.start") == F.col("t.start"), F.col("d.size") > 0]
         joined = self.documents.alias("d").join(sums.alias("t"), at, "left")
-        return joined.select("d.*", F.coalesce("t.taken", F.lit(0)).alias("taken"))
+        return joined.select("d.*", F.coalesce("t.taken", F.lit(0)).alias("taken"), "t.first_slot", "t.last_slot")
 
 
 def repeated(docs: DataFrame, mix: Mix) -> DataFrame:

@@ -46,29 +46,42 @@ def decontaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-# positions of the shuffled streams; the mix takes each stream's words up to its quota, round by round
+# positions of the shuffled streams; the mix takes each stream's words up to its quota, round by round, in
+# blocks whose slots follow the golden-ratio sequence modulo a Fibonacci number
 MIX_SQL = r"""
-with sizes as (select doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) as size from documents),
+with recursive sizes as (select doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) as size from documents),
 totals as (select source, sum(size) as source_size from sizes group by source),
 weighted as (select *, (row_number() over (order by source nulls last) - 1) % 3 + 1 as weight from totals),
 levels as (select *, (sum(source_size) over () - coalesce(sum(3 * source_size) over (order by 3 * source_size / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))::double
     / sum(weight) over (order by 3 * source_size / weight, source nulls last rows between current row and unbounded following) as level from weighted),
 shares as (select source, source_size, least((3 * source_size)::double, weight * max(level) over ()) as target from levels),
 quotas as (select *, least(3 * source_size, floor(target + 0.5)) as quota from shares),
+blocked as (select *, row_number() over (order by source nulls last) as number, ceil(quota / 256)::bigint as slots from quotas),
+numbered as (select *, (sum(slots) over (order by number) - slots)::bigint as low from blocked),
 placed as (select s.doc_id, s.size, q.source_size, q.target, q.quota,
     coalesce(sum(s.size) over (partition by s.source order by md5(coalesce(s.doc_id::varchar, '')), s.doc_id, s.size rows between unbounded preceding and 1 preceding), 0) as start
-    from sizes s join quotas q on s.source is not distinct from q.source)
+    , q.number
+    from sizes s join numbered q on s.source is not distinct from q.source),
+fib as (select 1::hugeint as before, 1::hugeint as now union all select now, before + now from fib where now < (select coalesce(sum(slots), 0) from numbered)),
+modulus as (select before, now, case when before * before % now = 1 % now then before else now - before end as inverse from fib order by now desc, before desc limit 1),
+points as (select number, unnest(generate_series(low, low + slots - 1))::hugeint as point from numbered where slots > 0),
+slots as (select number, slot, row_number() over (partition by number order by slot) - 1 as rank
+    from (select number, (point * inverse % now)::bigint as slot from points, modulus)),
+reach as (select *, size > 0 and start < quota as used, (start // 256)::bigint as first_rank,
+    ((least(start + least(2, (quota::bigint - 1 - start) // greatest(source_size, 1)) * source_size + size, quota::bigint) - 1) // 256)::bigint as last_rank from placed)
 select doc_id, size::bigint as size, source_size::bigint as source_size, target,
     (greatest(0, least(quota, start + size) - start) + greatest(0, least(quota, start + source_size + size) - start - source_size)
-    + greatest(0, least(quota, start + 2 * source_size + size) - start - 2 * source_size))::bigint as taken
-from placed
+    + greatest(0, least(quota, start + 2 * source_size + size) - start - 2 * source_size))::bigint as taken,
+    f.slot as first_slot, l.slot as last_slot
+from reach p left join slots f on p.used and f.number = p.number and f.rank = p.first_rank
+    left join slots l on p.used and l.number = p.number and l.rank = p.last_rank
 """
 
 
 @query("op1_mixing", MIX_SQL)
 def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.Mix(table(spark, sf_dir, "documents"), lambda totals: mixing.cycled(totals, 1, 2, 3))
-    return mix.taken().select("doc_id", "size", "source_size", "target", "taken")
+    return mix.taken().select("doc_id", "size", "source_size", "target", "taken", "first_slot", "last_slot")
 
 
 @query("op4_token_file")

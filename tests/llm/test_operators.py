@@ -44,6 +44,13 @@ def test_mixing_takes_quotas_in_shuffled_order(docs):
     assert max(free) == pytest.approx(min(free))
     slots = sorted(r["slot"] for r in mix.blocks.select("slot").distinct().collect())
     assert len(slots) == sum(s["slots"] for s in sources.values())
+    read = {}
+    for r in mix.blocks.where("n_words > 0").collect():
+        read.setdefault((r["number"], r["start"]), []).append(r["slot"])
+    for r in rows:
+        mine = read.get((r["number"], r["start"]), []) if r["size"] else []
+        assert (r["first_slot"], r["last_slot"]) == ((min(mine), max(mine)) if mine else (None, None))
+        assert (r["taken"] > 0) == bool(mine)
     filled = mix.blocks.groupBy("slot", "number", "rank").sum("n_words").collect()
     assert all(r["sum(n_words)"] <= 64 for r in filled)
     again = mixing.Mix(docs, lambda t: mixing.cycled(t, 1, 2, 3), block=64).taken()
@@ -276,7 +283,7 @@ def test_chat_windows(spark):
             own += parsed[r["n_repeated"] :]
             learned += [chat_format.unescape(r["text"][s["begin"] : s["end"]]) for s in r["loss"]]
             size = sum(len(plain.words(t)) + 4 for _, t in parsed)
-            assert size <= 100 + 6 or len(parsed) - r["n_repeated"] == 1
+            assert size <= 100 or len(parsed) - r["n_repeated"] == 1 and r["n_repeated"] <= (conv in range(4) and r["window"] > 0)
             if conv in range(4) and r["window"]:
                 assert parsed[0] == ("system", "be <|kind|>")
         assert own == [(r, t) for r, t, _ in turns]
@@ -289,6 +296,25 @@ def test_chat_windows(spark):
     assert chat_format.digests(chat_format.windows(table.where("false"))).count() == 0
 
 
+def test_chat_budget_bounds_windows_with_long_system_turns(spark):
+    rng = random.Random(6)
+    rows, system = [], {}
+    for conv, length in enumerate((0, 5, 60, 95, 140)):
+        system[conv] = length + 4
+        rows.append((conv, 0, "system", " ".join(["s"] * length)))
+        rows += [(conv, t, ("user", "assistant")[t % 2], " ".join(["w"] * rng.randrange(40))) for t in range(1, 80)]
+    windows = chat_format.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 100, 30).collect()
+    repeated = dict.fromkeys(system, 0)
+    for r in windows:
+        sizes = [len(plain.words(t)) + 4 for _, t in chat_format.parse(r["text"])]
+        own = sizes[r["n_repeated"] :]
+        repeated[r["conv_id"]] += max(0, r["n_repeated"] - 1)
+        alone = len(own) == 1 and own[0] + system[r["conv_id"]] > 100
+        assert sum(sizes) <= 100 or alone and r["n_repeated"] <= 1
+        assert sum(sizes[1 : r["n_repeated"]]) <= 30
+    assert all(repeated[c] > 0 for c in (0, 1, 2)) and repeated[4] == 0
+
+
 def test_lm_scores(docs, empty):
     rows = [(r[0], plain.words(r[1])) for r in plain.documents()]
     singles, pairs = {}, {}
