@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from hayloft import schemas as S
 from hayloft.functions.scoring import RANK_DIGITS
-from hayloft.operators import fusion
+from hayloft.operators import digests, fusion
 
 QUERY_MATRIX_ROWS = 20_000
 SLICE_ROWS = 20_000
@@ -252,18 +252,15 @@ def work_list(files: DataFrame, store: DataFrame) -> DataFrame:
     """(item_id, kind, action): what an embedding run has to do to bring the store up to date.
 
     create: wanted and missing; stale: stored for another text; keep: valid; drop: the file is gone or
-    its text is. Pixel vectors of a known file are kept even when they would not be made again.
+    its text is. Pixel vectors of a known file are kept even when they would not be made again. Buckets of
+    items whose wanted and stored digests agree are kept without a join.
     """
-    wanted = wanted_embeddings(files).select(
-        "item_id", "kind", F.sha2("text", 256).alias("want_sha"), F.lit(True).alias("wanted")
-    )
+    wanted = wanted_embeddings(files).select("item_id", "kind", F.sha2("text", 256).alias("sha"))
+    stored = store.groupBy("item_id", "kind").agg(F.max("text_sha").alias("sha"))
+    parts = digests.compare(stored, wanted, ["item_id", "kind"], ["sha"])
     known = files.select(F.col("id").alias("item_id"), F.lit(True).alias("known"))
-    stored = (
-        store.groupBy("item_id", "kind")
-        .agg(F.max("text_sha").alias("have_sha"))
-        .join(known, "item_id", "left")
-        .withColumn("stored", F.lit(True))
-    )
+    wanted = parts.right.withColumnRenamed("sha", "want_sha").withColumn("wanted", F.lit(True))
+    stored = parts.left.withColumnRenamed("sha", "have_sha").join(known, "item_id", "left").withColumn("stored", F.lit(True))
     pixels = ~F.col("kind").isin(*S.KIND_TEXT_FIELD)
     action = (
         F.when(F.col("stored").isNull(), "create")
@@ -272,4 +269,5 @@ def work_list(files: DataFrame, store: DataFrame) -> DataFrame:
         .when(F.col("want_sha").isNull() | (F.col("want_sha") == F.col("have_sha")), "keep")
         .otherwise("stale")
     )
-    return wanted.join(stored, ["item_id", "kind"], "full_outer").select("item_id", "kind", action.alias("action"))
+    settled = parts.same.select("item_id", "kind", F.lit("keep").alias("action"))
+    return settled.unionByName(wanted.join(stored, ["item_id", "kind"], "full_outer").select("item_id", "kind", action.alias("action")))

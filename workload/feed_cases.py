@@ -196,4 +196,4 @@ def live_vectors(spark, sf):
 def full_reconcile(spark, sf):
     """Daily repair: the stored catalog (no audio) against what lies in the directory (English files)."""
     files = v.files(spark, sf)
-    return catalog.reconcile(files.where("ftype <> 'audio'"), files.where("lang = 'en'"))
+    return catalog.reconcile_by_digest(files.where("ftype <> 'audio'"), files.where("lang = 'en'"))
