@@ -37,6 +37,42 @@ def test_list_of_a_single_text_is_not_cut(spark):
     assert sorted(r["rank"] for r in near[1]) == list(range(2, len(near[1]) + 2))
 
 
+def test_lists_of_a_block_while_the_vectors_pass(monkeypatch):
+    monkeypatch.setattr(vectors, "CELLS", 500)
+    monkeypatch.setattr(vectors, "HELD", 400)
+    rng = np.random.default_rng(3)
+    items = np.repeat(np.arange(300), rng.integers(1, 4, 300))
+    stored = rng.integers(-2, 3, (len(items), 6)).astype(float)  # many equal scores
+    ids, asked = np.array([5, 9, 7, 9]), rng.integers(-2, 3, (4, 6)).astype(float)
+    for k in (1, 7, 1000):
+        block, most = vectors._Block(("V", 0), k), 0
+        block.ask(ids[:3], asked[:3])
+        block.ask(ids[3:], asked[3:])
+        rows = []
+        for lo in range(0, len(items), 50):
+            rows += block.meet(items[lo : lo + 50], stored[lo : lo + 50])
+            most = max(most, block.held)
+        rows += block.ended()
+        got = {q: [] for q in (5, 7, 9)}
+        for batch in rows:
+            for r in batch.to_pylist():
+                got[r["query_id"]].append((-r["score"], r["item_id"]))
+        for q, found in got.items():
+            best = {}
+            for i, score in zip(items, (stored @ asked[ids == q].T).max(axis=1)):
+                best[i] = max(best.get(i, -np.inf), score)
+            assert found == sorted((-score, i) for i, score in best.items())[:k]
+        assert most <= 3 * k + 200 + 500
+
+
+def test_products_are_made_a_bounded_number_at_a_time(monkeypatch):
+    monkeypatch.setattr(vectors, "CELLS", 1000)
+    rng = np.random.default_rng(4)
+    matrix, queries = rng.normal(size=(100, 3)), rng.normal(size=(50, 3))
+    found = list(vectors._reduce_block(np.arange(100), matrix, np.arange(50), queries, "D", None))
+    assert max(b.num_rows for b in found) <= 1000 and sum(b.num_rows for b in found) == 5000
+
+
 def _types(schema: str, row: dict) -> list[str]:
     named = dict(c.split(" ") for c in schema.split(", "))
     return [named[c] for c in row]
