@@ -32,7 +32,8 @@ from hayloft.llm.common import U64, coded, gram_hashes, hashes, slices, split_wo
 
 LEAST_WORDS = 3
 ITEM_WORDS = 2_000_000  # words of items sent to the tasks at once, 8 bytes each
-PLACES = 1_000_000  # shared places compared at once
+PLACES = 250_000  # shared places compared at once: about 100 bytes each while they are sorted
+SLICE = 1_000_000  # bytes of text at once: words and their hashes take many times that
 THRESHOLD = 0.6
 BASE = 1 << 32  # scores and starts share one integer
 
@@ -51,7 +52,7 @@ def clean_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE):
         words, starts = clean_words(batch.column("text"))
         lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(words))
         yield pa.RecordBatch.from_arrays([batch.column("item_id"), lists], ["item_id", "item"])
@@ -128,7 +129,7 @@ def _found(ids: pa.Array, items: list[np.ndarray], threshold: float):
     runs = Runs(items, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             words, starts = clean_words(batch.column("text"))
             rows, of, lows, texts = [], [], [], []
             for row, item, cell in zip(*runs.windows(words, starts)):
