@@ -81,20 +81,22 @@ def _by_pieces(words: DataFrame, dictionary: DataFrame, distance: int) -> DataFr
     return left.join(right, ["lang", "_n", "_i", "_piece"]).select("lang", "word", "candidate", "freq")
 
 
+def _dealt(words: DataFrame) -> DataFrame:
+    """Words dealt to all cores: a small table, often in one partition, of which each row becomes hundreds."""
+    return words.repartition(4 * words.sparkSession.sparkContext.defaultParallelism, "lang", "word")
+
+
 def near_words(words: DataFrame, dictionary: DataFrame, distance: int, piece_letters: int = PIECE_LETTERS) -> DataFrame:
     """(lang, word, candidate, freq, distance): dictionary words within ``distance`` of each word.
 
-    ``words(lang, word)`` are distinct. A pair that meets several times is verified once.
+    ``words(lang, word)`` are distinct. A pair that meets several times comes once.
     """
     short = max(piece_letters, 1) * (distance + 1)  # shorter dictionary words are found by variants
+    words, dictionary = _dealt(words), _dealt(dictionary)
     variants = _by_variants(words.where(F.length("word") < short + distance), dictionary.where(F.length("word") < short), distance)
     whole = _by_pieces(words.where(F.length("word") >= short - distance), dictionary.where(F.length("word") >= short), distance)
-    return (
-        variants.unionByName(whole)
-        .distinct()
-        .withColumn("distance", F.levenshtein("word", "candidate", distance))
-        .where("distance >= 0")
-    )
+    # verified where pairs meet: what is too far never reaches the shuffle, a pair that meets again leaves it once
+    return variants.unionByName(whole).withColumn("distance", F.levenshtein("word", "candidate", distance)).where("distance >= 0").distinct()
 
 
 def prefix_table(dictionary: DataFrame) -> DataFrame:

@@ -81,3 +81,29 @@ def test_rates_add_up_over_chunks(spark):
     rate = quality.error_rate(quality.word_errors(df)).first()
     assert (rate.edits, rate.n_ref, rate.rate) == (2, 4, 0.5)
     assert quality.error_rate(quality.character_errors(df)).first().rate == 3 / 6
+
+
+def test_words_of_the_documents_are_counted_once(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from workload import language_cases
+
+    texts = ["house horse mouse " * 5, "hause house", None, "horze"]
+    pq.write_table(pa.table({"doc_id": pa.array(range(4)), "text": texts, "lang": ["en", "en", "en", None]}), tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"item_id": pa.array([0]), "text": ["mause"]}), tmp_path / "benchmark.parquet")
+    words, known = language_cases._words_and_dictionary(spark, str(tmp_path))
+    assert "documents.parquet" not in words.unionByName(known.select("lang", "word"))._jdf.queryExecution().toString()
+    found = {(r.word, r.candidate) for r in language_cases.near_words(spark, str(tmp_path)).collect()}
+    assert found == {("hause", "house"), ("hause", "mouse"), ("mause", "mouse"), ("mause", "house"), ("hause", "horse")}
+
+
+def test_pairs_that_are_too_far_apart_are_not_shuffled(spark):
+    from hayloft.operators import dictionary
+
+    words = spark.createDataFrame([("en", "hause")], "lang string, word string")
+    known = spark.createDataFrame([("en", "house", 0.5)], "lang string, word string, freq double")
+    near = dictionary.near_words(words, known, 2)
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "levenshtein" in plan.lower() and plan.lower().index("aggregate") < plan.lower().index("levenshtein")
+    assert [r.distance for r in near.collect()] == [1]

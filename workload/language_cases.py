@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hayloft.operators import dictionary, prompts, quality
+from hayloft.session import checkpointed
 from workload import views as v
 from workload.registry import query
 
@@ -25,9 +26,15 @@ _PAIRS = _NEAR + _DELETIONS.format(_bytes("word")) + """, near as (
     from asked q join slim d on d.lang = q.lang and d.n between q.n - 2 and q.n + 2 where levenshtein(q.b, d.b) <= 2)"""
 
 
+def _words_and_dictionary(spark, sf):
+    """Query words and dictionary; the words of the documents are counted once for all places that read them."""
+    counts = checkpointed(v.word_counts(spark, sf))
+    return checkpointed(v.query_words(spark, sf, counts)), checkpointed(v.dictionary(spark, sf, counts))
+
+
 @query("j6_near_words", v.sql(_PAIRS + " select lang, word, candidate, distance::INT as distance from near", "dictionary", "query_words"))
 def near_words(spark, sf):
-    return dictionary.near_words(v.query_words(spark, sf), v.dictionary(spark, sf), 2).select("lang", "word", "candidate", "distance")
+    return dictionary.near_words(*_words_and_dictionary(spark, sf), 2).select("lang", "word", "candidate", "distance")
 
 
 @query(
@@ -69,7 +76,7 @@ _UNKNOWN = _PAIRS + """, unknown as (select lang, word from query_words anti joi
     v.sql(_UNKNOWN + " select lang, word, candidate, distance::INT as distance, score from fixes", "dictionary", "query_words"),
 )
 def corrections(spark, sf):
-    return dictionary.corrections(v.query_words(spark, sf), v.dictionary(spark, sf))
+    return dictionary.corrections(*_words_and_dictionary(spark, sf))
 
 
 _SPLITS = _UNKNOWN + f""", cuts as (select lang, word, cut, substr(word, 1, cut) as first, substr(word, cut + 1) as second
@@ -87,7 +94,7 @@ _SPLITS = _UNKNOWN + f""", cuts as (select lang, word, cut, substr(word, 1, cut)
 
 @query("e6_splits", v.sql(_SPLITS + " select lang, word, first, second, score from halves", "dictionary", "query_words"))
 def splits(spark, sf):
-    return dictionary.splits(v.query_words(spark, sf), v.dictionary(spark, sf))
+    return dictionary.splits(*_words_and_dictionary(spark, sf))
 
 
 @query(
@@ -101,7 +108,7 @@ def splits(spark, sf):
     ),
 )
 def repaired(spark, sf):
-    return dictionary.repaired(v.query_words(spark, sf), v.dictionary(spark, sf))
+    return dictionary.repaired(*_words_and_dictionary(spark, sf))
 
 
 def _words(column):

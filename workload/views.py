@@ -186,19 +186,19 @@ def word_counts(spark: SparkSession, sf: str) -> DataFrame:
     return words(spark, sf).groupBy("lang", "word").agg(F.count("*").alias("n"))
 
 
-def dictionary(spark: SparkSession, sf: str) -> DataFrame:
+def dictionary(spark: SparkSession, sf: str, counts: DataFrame | None = None) -> DataFrame:
     """(lang, word, freq): tokens that occur five times or more, with their share of all dictionary tokens."""
-    counted = word_counts(spark, sf).where("n >= 5")
+    counted = (word_counts(spark, sf) if counts is None else counts).where("n >= 5")
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
     return counted.join(totals, "lang").select("lang", "word", (F.col("n") / F.col("total")).alias("freq"))
 
 
-def query_words(spark: SparkSession, sf: str) -> DataFrame:
+def query_words(spark: SparkSession, sf: str, counts: DataFrame | None = None) -> DataFrame:
     """(lang, word): tokens of the benchmark queries, as English words, and all tokens of the documents that no dictionary has."""
     from hayloft.functions.text import tokens
 
     asked = table(spark, sf, "benchmark").select(F.lit("en").alias("lang"), F.explode(tokens(F.col("text"))).alias("word"))
-    rare = word_counts(spark, sf).where("n < 5").select("lang", "word")
+    rare = (word_counts(spark, sf) if counts is None else counts).where("n < 5").select("lang", "word")
     return asked.unionByName(rare).distinct()
 
 
