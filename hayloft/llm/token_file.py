@@ -2,7 +2,7 @@
 
 Texts are tokenized with a public tokenizer, an end id is appended, and documents are written in
 ascending id order. A file row is a chunk of whole documents: their ids and lengths and the coded ids,
-cut into up to 512 blocks of equal length. Every block starts with fresh models and has its own
+cut into up to 1,024 blocks of equal length. Every block starts with fresh models and has its own
 checksum, so blocks are coded side by side, one numpy lane each, and a damaged one is found.
 
 Three predictors of the next id are mixed: order 2 and order 1 name the id that followed the same
@@ -18,6 +18,7 @@ one chunk, which is then as large as the text; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,16 +29,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hayloft.llm.common import coded, release, slices, split_words, work_dir
+from hayloft.llm.common import arrow_rows, coded, release, slices, split_words, stored, work_dir
 
 END = 1
 MAGIC = b"TID1"
-LANES, BLOCK_IDS, CHUNK_IDS = 512, 4096, 2_097_152
+LANES, BLOCK_IDS, CHUNK_IDS = 1024, 4096, 4_194_304
 CONTEXTS = 4096  # entries of an order's table in a block
 FULL = 4096  # probabilities are out of this
 SPECIAL = "<|endoftext|>"
 CACHED_WORDS = 200_000
 ENCODED_AT_ONCE = 4_000  # words; the tokenizer keeps strings and places of all their pieces
+BATCH_TEXTS = 1_000  # rows of an Arrow batch, which the JVM and the worker hold side by side
 
 
 class Words:
@@ -49,36 +51,37 @@ class Words:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads that wait for work burn others
         self.tokenizer = Tokenizer.from_file(path)
         self.separator = self.tokenizer.token_to_id(SPECIAL)
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.ids, self.starts, self.lengths = np.empty(0, np.uint16), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids, self.starts, self.lengths = np.empty(0, np.uint16), np.empty(0, np.int32), np.empty(0, np.int32)
 
-    def _encode(self, values: list[str]) -> list[np.ndarray]:
+    def _add(self, new: list[str]) -> None:
+        """Encode words in groups with a separator between them; its ids stay in the store, outside all words."""
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        plain = [v for v in values if "<|" not in v and "|>" not in v]
+        plain = [v for v in new if "<|" not in v and "|>" not in v]
+        alone = [v for v in new if "<|" in v or "|>" in v]
         groups = [plain[k : k + 500] for k in range(0, len(plain), 500)]
-        found: dict[str, np.ndarray] = {}
-        for group, one in zip(groups, encode([SPECIAL.join(g) for g in groups], add_special_tokens=False)):
+        coded_ids, starts, lengths, size = [self.ids], [self.starts], [self.lengths], len(self.ids)
+        for one in encode([SPECIAL.join(g) for g in groups], add_special_tokens=False):
             ids = np.array(one.ids, np.uint16)
-            found.update(zip(group, np.split(ids, np.flatnonzero(ids == self.separator))))
-        for v in values:
-            if v not in found:
-                found[v] = np.array([0, *self.tokenizer.encode(v, add_special_tokens=False).ids], np.uint16)
-        firsts = {g[0] for g in groups}
-        # all but a group's first piece begin with the separator; words coded alone with a filler
-        return [found[v] if v in firsts else found[v][1:] for v in values]
-
-    def _add(self, new: list[str]) -> None:
-        pieces = self._encode(new)
-        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        self.place.update(zip(new, range(len(self.lengths), len(self.lengths) + len(new))))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.ids = np.concatenate([self.ids, *pieces])
+            bounds = np.concatenate([[-1], np.flatnonzero(ids == self.separator), [len(ids)]]).astype(np.int32)
+            coded_ids.append(ids)
+            starts.append(size + bounds[:-1] + 1)
+            lengths.append(np.diff(bounds) - 1)
+            size += len(ids)
+        for v in alone:
+            ids = np.array(self.tokenizer.encode(v, add_special_tokens=False).ids, np.uint16)
+            coded_ids.append(ids)
+            starts.append(np.array([size], np.int32))
+            lengths.append(np.array([len(ids)], np.int32))
+            size += len(ids)
+        self.place.update(zip(plain + alone, range(len(self.lengths), len(self.lengths) + len(new))))
+        self.ids, self.starts, self.lengths = (np.concatenate(x) for x in (coded_ids, starts, lengths))
 
     def lookup(self, values: list[str]) -> np.ndarray:
         new = [v for v in values if v not in self.place]
@@ -87,20 +90,20 @@ class Words:
             new = values
         for k in range(0, len(new), ENCODED_AT_ONCE):
             self._add(new[k : k + ENCODED_AT_ONCE])
-        return np.fromiter((self.place[v] for v in values), np.int64, len(values))
+        return np.fromiter(map(self.place.__getitem__, values), np.int32, len(values))
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and the number of each text's ids."""
         raw, rows = split_words(text)
         distinct, place = coded(raw)
         known = self.lookup(distinct.to_pylist())
-        word = known[place] if len(raw) else np.empty(0, np.int64)
-        starts, lengths = np.append(self.starts, len(self.ids)), np.append(self.lengths, 1)
+        word = known.take(place) if len(raw) else np.empty(0, np.int32)
         ends = np.searchsorted(rows, np.arange(1, len(text) + 1))
         word = np.insert(word, ends, len(self.starts))
-        size = lengths[word]
-        upto = np.cumsum(size)
-        ids = np.append(self.ids, np.uint16(END))[np.repeat(starts[word] - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)]
+        size = np.append(self.lengths, np.int32(1)).take(word)
+        upto = np.cumsum(size, dtype=np.int64)
+        at = np.append(self.starts, np.int32(len(self.ids))).take(word) - (upto - size)
+        ids = np.append(self.ids, np.uint16(END)).take(np.repeat(at, size) + np.arange(upto[-1] if len(upto) else 0))
         bounds = np.concatenate([[0], upto[ends + np.arange(len(ends))]])
         return ids, np.diff(bounds)
 
@@ -110,47 +113,46 @@ class Model:
 
     def __init__(self, lanes: int):
         self.lane = np.arange(lanes)
-        # per context the id that came last, and above its 16 bits 0 to 4 for how often it has been right
-        self.seen2, self.seen1 = (np.zeros(lanes * CONTEXTS, np.int32) for _ in range(2))
-        start = np.array([0, 800, 2000, 3000, 3600], np.int32)
-        self.right2, self.right1 = np.tile(start, lanes), np.tile(start, lanes)
-        self.weight = np.full(lanes, FULL // 2, np.int32)
+        # both orders in one array, order 2 in the first half: per context the id that came last, and above its 16 bits
+        # 0 to 4 for how often it has been right
+        orders = np.arange(2 * lanes).reshape(2, lanes)
+        self.tables, self.states = orders * CONTEXTS, orders * 5
+        self.seen = np.zeros(2 * lanes * CONTEXTS, np.int32)
+        self.right = np.tile(np.array([0, 800, 2000, 3000, 3600], np.int32), 2 * lanes)
+        self.weights = np.full((2, lanes), FULL // 2, np.int32)  # they add up to FULL
         even = np.arange(17, dtype=np.int16) * (FULL // 16)
         self.first = np.tile(even, (lanes, 1))
         self.second = np.tile(even, (lanes * 16, 1))
         self.last = np.zeros(lanes, np.uint32)
         self.last_but_one = np.zeros(lanes, np.uint32)
+        self.hashes = np.empty((2, lanes), np.uint32)
         # where a cumulative table moves to after each digit, keeping every step at 16 or more
         self.pull = np.array([[16 * k + (FULL - 256 if k > d else 0) for k in range(17)] for d in range(16)], np.int16)
 
     def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids named by orders 2 and 1, and their probabilities in the mixture."""
-        one = (self.last * np.uint32(0x9E3779B1)) >> np.uint32(20)
-        two = ((self.last * np.uint32(0x85EBCA6B)) ^ (self.last_but_one * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F)) >> np.uint32(20)
-        base = self.lane * CONTEXTS
-        self.at2, self.at1 = base + two, base + one
-        seen2, seen1 = self.seen2.take(self.at2), self.seen1.take(self.at1)
-        self.c2, self.c1 = seen2 & 0xFFFF, seen1 & 0xFFFF
-        self.s2, self.s1 = seen2 >> 16, seen1 >> 16
-        self.r2, self.r1 = self.lane * 5 + self.s2, self.lane * 5 + self.s1
-        self.p2, self.p1 = self.right2.take(self.r2), self.right1.take(self.r1)
-        m2 = (self.weight * self.p2) >> 12
-        m1 = ((FULL - self.weight) * self.p1) >> 12
-        same = self.c2 == self.c1
+        two, one = self.hashes
+        np.multiply(self.last, np.uint32(0x9E3779B1), out=one)
+        np.multiply(self.last_but_one, np.uint32(0xC2B2AE35 * 0x27D4EB2F & 0xFFFFFFFF), out=two)
+        two ^= self.last * np.uint32(0x85EBCA6B)
+        self.at = self.tables + (self.hashes >> np.uint32(20))
+        seen = self.seen.take(self.at)
+        self.named, self.state = seen & 0xFFFF, seen >> 16
+        self.slot = self.states + self.state
+        self.chance = self.right.take(self.slot)
+        m2, m1 = (self.weights * self.chance) >> 12
+        same = self.named[0] == self.named[1]
         m2 += m1 * same
         m1 *= ~same
-        return self.c2, self.c1, m2, m1
+        return self.named[0], self.named[1], m2, m1
 
     def update(self, ids: np.ndarray) -> None:
-        hit2, hit1 = self.c2 == ids, self.c1 == ids
-        for hit, state, at, seen, right, slot, p in (
-            (hit2, self.s2, self.at2, self.seen2, self.right2, self.r2, self.p2),
-            (hit1, self.s1, self.at1, self.seen1, self.right1, self.r1, self.p1),
-        ):
-            old = state > 0
-            right[slot] = (p + ((hit * 4064 - p) >> 5)) * old
-            seen[at] = ids | ((1 + np.minimum(state, 3) * (hit & old)) << 16)
-        self.weight += ((np.where(hit2, FULL - 64, 64) - self.weight) >> 4) * (hit2 != hit1)
+        hit, old = self.named == ids, self.state > 0
+        self.right[self.slot] = (self.chance + ((hit * np.int32(4064) - self.chance) >> 5)) * old
+        self.seen[self.at] = ids | ((1 + np.minimum(self.state, 3) * (hit & old)) << 16)
+        weight = self.weights[0]
+        weight += ((np.where(hit[0], np.int32(FULL - 64), np.int32(64)) - weight) >> 4) * (hit[0] != hit[1])
+        np.subtract(FULL, weight, out=self.weights[1])
         self.last_but_one = self.last
         self.last = ids.astype(np.uint32)
 
@@ -163,6 +165,11 @@ def _learn(table: np.ndarray, rows: np.ndarray, cells: np.ndarray, digit: np.nda
     table[rows] = move
 
 
+def _parts(two: np.ndarray, one: np.ndarray, m2: np.ndarray, m1: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and size of the part that order 2, order 1 or none of them has in the mixture."""
+    return np.where(two, 0, np.where(one, m2, both)), np.where(two, m2, np.where(one, m1, FULL - both))
+
+
 LOW32 = np.uint64(0xFFFFFFFF)
 SHIFT = np.uint64(32)
 LEAST = np.uint64(2**32)
@@ -200,6 +207,9 @@ def encode_blocks(ids: np.ndarray) -> bytes:
     grid = np.zeros(lanes * length, np.uint16)
     grid[: len(ids)] = ids
     grid = grid.reshape(lanes, length)
+    sums = np.array([zlib.crc32(row.tobytes()) for row in grid], np.uint32)
+    columns = np.ascontiguousarray(grid.T)
+    del ids, grid  # two copies fewer while the models are held
     model, coder = Model(lanes), Coder(lanes)
     out, used = np.empty((lanes, length + 8), np.uint32), np.zeros(lanes, np.int64)
 
@@ -208,7 +218,8 @@ def encode_blocks(ids: np.ndarray) -> bytes:
         out[some, used[some]] = words
         used[some] += 1
 
-    for k, column in enumerate(np.ascontiguousarray(grid.T).astype(np.int32)):
+    for k, column in enumerate(columns):
+        column = column.astype(np.int32)
         if k % 64 == 0 and used.max() + 256 > out.shape[1]:
             out = np.concatenate([out, np.empty((lanes, length + 256), np.uint32)], axis=1)
         c2, c1, m2, m1 = model.predict()
@@ -216,7 +227,7 @@ def encode_blocks(ids: np.ndarray) -> bytes:
         one = (column == c1) & (m1 > 0) & ~two
         both = m2 + m1
         none = ~(two | one)
-        coder.narrow_all(coder.span >> np.uint64(12), m2 * one + both * none, m2 * two + m1 * one + (FULL - both) * none)
+        coder.narrow_all(coder.span >> np.uint64(12), *_parts(two, one, m2, m1, both))
         rest = np.flatnonzero(none)
         here = column.take(rest)
         digits = here >> 12, (here >> 8) & 15
@@ -234,7 +245,6 @@ def encode_blocks(ids: np.ndarray) -> bytes:
     for shift in (SHIFT, np.uint64(0)):
         out[model.lane, used] = ((coder.low >> shift) & LOW32).astype(np.uint32)
         used += 1
-    sums = np.array([zlib.crc32(row.tobytes()) for row in grid], np.uint32)
     head = struct.pack("<4sII", MAGIC, lanes, length) + used.astype("<u4").tobytes() + sums.astype("<u4").tobytes()
     return head + b"".join(out[k, : used[k]].astype("<u4").tobytes() for k in range(lanes))
 
@@ -270,7 +280,7 @@ def decode_blocks(data: bytes, count: int) -> np.ndarray:
         both = m2 + m1
         two, none = v < m2, v >= both
         one = ~(two | none)
-        coder.narrow_all(step, m2 * one + both * none, m2 * two + m1 * one + (FULL - both) * none)
+        coder.narrow_all(step, *_parts(two, one, m2, m1, both))
         ids = c2 * two + c1 * one
         rest = np.flatnonzero(none)
         value = np.zeros(len(rest), np.int64)
@@ -313,11 +323,14 @@ def _chunks(path: str):
 
         def flush():
             nonlocal chunk, waiting
-            data = encode_blocks(np.concatenate(held))
+            ids = [np.concatenate(held)]
+            held.clear()
+            release()  # what the tokenizer has freed makes room for the models
+            data = encode_blocks(ids.pop())
             row = [[part], [chunk], [waiting], [list(docs)], [list(lengths)], [data]]
             types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             chunk, waiting = chunk + 1, 0
-            for x in (docs, lengths, held):
+            for x in (docs, lengths):
                 x.clear()
             release()
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], ["part", "chunk", "n_ids", "doc_ids", "lengths", "blocks"])
@@ -345,7 +358,8 @@ def write(docs: DataFrame, tokenizer: str, path: str) -> None:
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_chunks(tokenizer), SCHEMA).write.parquet(path)
+    with arrow_rows(spark, BATCH_TEXTS):
+        ordered.mapInArrow(_chunks(tokenizer), SCHEMA).write.parquet(path)
 
 
 def starts(chunks: DataFrame) -> DataFrame:
@@ -372,9 +386,13 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_documents(spark, path: str) -> DataFrame:
-    """Decode the files: ``(doc_id, start, n_tokens, ids_crc32)`` for each document."""
+    """Decode the files: ``(doc_id, start, n_tokens, ids_crc32)`` for each document.
+
+    What a document's ids give is stored: a plan that is run again, or replanned, does not decode again.
+    """
     chunks = spark.read.schema(SCHEMA).parquet(path)
-    decoded = chunks.mapInArrow(_documents, "part int, chunk long, doc_id long, offset long, n_tokens long, ids_crc32 long")
+    with arrow_rows(spark, 1):  # a chunk is megabytes
+        decoded = stored(chunks.mapInArrow(_documents, "part int, chunk long, doc_id long, offset long, n_tokens long, ids_crc32 long"), "decoded")
     placed = decoded.join(starts(chunks.select("part", "chunk", "n_ids")), ["part", "chunk"])
     return placed.select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 

@@ -166,6 +166,14 @@ def test_token_file_round_trip(docs, empty):
     assert token_file.written(empty, TOKENIZER).count() == 0
 
 
+def test_token_files_are_decoded_once(spark, docs):
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    read = token_file.written(docs, TOKENIZER)
+    plan = read._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == rows
+
+
 @pytest.mark.parametrize("ids", [[1], [0] * 5000, list(range(0, 65536, 7)), [5, 9, 5, 9, 2] * 3000])
 def test_blocks_round_trip_and_damage(ids):
     ids = np.array(ids, np.uint16)
