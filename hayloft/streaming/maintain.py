@@ -142,6 +142,12 @@ class LiveTables:
     def _write(self, df: DataFrame, table: str, layer: Layer) -> None:
         df.sortWithinPartitions(*_ORDER[table]).write.mode("overwrite").parquet(f"{self.root}/{layer.folder}/{table}")
 
+    def _once(self, df: DataFrame, table: str, layer: Layer) -> DataFrame:
+        """``df`` stored beside the layer's tables: a micro-batch and its state are walked once, however often they are asked."""
+        path = f"{self.root}/{layer.folder}/{table}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def _announce(self, layer: Layer) -> None:
         self.spark.createDataFrame([tuple(layer)], _LOG).coalesce(1).write.mode("append").parquet(f"{self.root}/log-{self.base_until()}")
 
@@ -201,9 +207,9 @@ class LiveTables:
             return
         layer = Layer(batch_id, batch_id, 0)
         named = batch.withColumn("name", file_name(F.col("path")))
-        last = catalog.latest_per_key(named, ["name"], "seq").select("name", "op")
+        last = self._once(catalog.latest_per_key(named, ["name"], "seq").select("name", "op"), "operations", layer)
         before = self.files(before=batch_id)
-        old = before.join(last, "name", "left_semi")
+        old = self._once(before.join(last, "name", "left_semi"), "replaced", layer)
         new = describe(last.where("op = 'created'").select("name"))
         gone = old.join(last.where("op = 'deleted'").select("name"), "name", "left_semi")
         # a created name that cannot be described (vanished, no media) leaves the catalog as well

@@ -166,6 +166,24 @@ def test_live_tables_equal_a_rebuild_and_survive_a_replay(spark, tmp_path):
         assert a.exceptAll(b.select(*a.columns)).count() == 0 and a.count() == b.count()
 
 
+def test_a_micro_batch_is_walked_once(spark, tmp_path):
+    everything = frame(spark, catalog_rows(8))
+    live = LiveTables(spark, f"{tmp_path}/live", everything.where("id < 4"))
+    walked = spark.sparkContext.accumulator(0)
+
+    def walk(frames):
+        for rows in frames:
+            walked.add(len(rows))
+            yield rows
+
+    events = [("/d/f1", "deleted", 1, None), ("/d/f2", "created", 2, None), ("/d/f6", "created", 3, None), ("/d/f6", "deleted", 4, None), ("/d/f7", "created", 5, None)]
+    schema = "path string, op string, seq long, ready_at timestamp"
+    batch = spark.createDataFrame(events, schema).mapInPandas(walk, schema)
+    live.apply(batch, 0, lambda names: everything.join(names, "name", "left_semi"))
+    assert walked.value == len(events)
+    assert {r.name for r in live.files().collect()} == {"f0", "f2", "f3", "f7"}
+
+
 def test_cover_takes_the_widest_layers_once():
     single = [Layer(i, i, 0) for i in range(7)]
     wide = [Layer(0, 1, 1), Layer(2, 3, 1), Layer(0, 3, 2), Layer(4, 5, 1)]
