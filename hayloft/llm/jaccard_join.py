@@ -42,7 +42,7 @@ from hayloft.llm.components import components
 SHINGLE = 5
 BLOCK_ROWS, BLOCK_TOKENS = 64, 400_000
 NEAR, MIDDLE, FAR = 0, 1, 2
-BUCKET_TOKENS = 2_000_000  # tokens counted together, 16 MB
+BUCKET_TOKENS = 2_000_000  # tokens counted together, 8 MB
 NUMBER = "decimal(20,0)"  # ids, and above all of them the numbers of classes without one
 
 
@@ -89,47 +89,52 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(halves)), nodes.take(at), sizes.take(at)], ["token", "node", "n"])
 
 
+def _key_mask(buckets: int) -> int:
+    """The bits of a token that name it while tokens are counted: those of its bucket, then 32 bits inside it."""
+    return (buckets << 32) - 1
+
+
 def _token_parts(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.int64(_key_mask(buckets))
         for batch in slices(batches, "text"):
             halves = [lower_half(s) for s in shingle_sets(batch.column("text"))]
-            tokens, counts = np.unique(np.concatenate(halves), return_counts=True)
-            bucket = (mixed(tokens.view(U64).copy()) >> U64(32)) * U64(buckets) >> U64(32)
-            order = np.argsort(bucket, kind="stable")
-            tokens, counts, bucket = tokens[order], counts[order], bucket[order]
-            names, starts = np.unique(bucket, return_index=True)
-            ends = np.append(starts[1:], len(tokens))
+            keys, counts = np.unique(np.concatenate(halves) & mask, return_counts=True)
+            names, starts = np.unique(keys >> 32, return_index=True)
+            ends = np.append(starts[1:], len(keys))
             again = [a + np.flatnonzero(counts[a:b] > 1) for a, b in zip(starts, ends)]
+            keys = keys.astype(np.uint32)  # the bits inside a bucket
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(names.astype(np.int64)),
-                    pa.array([tokens[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
-                    pa.array([tokens[x].tobytes() for x in again], pa.binary()),
+                    pa.array([keys[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
+                    pa.array([keys[x].tobytes() for x in again], pa.binary()),
                     pa.array([(counts[x] - 1).astype(np.int64).tobytes() for x in again], pa.binary()),
                 ],
-                ["bucket", "tokens", "again", "more"],
+                ["bucket", "keys", "again", "more"],
             )
 
     return run
 
 
 def _frequencies(group: pa.Table) -> pa.Table:
-    """Tokens of a bucket that several documents have."""
-    tokens, again, more = (np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in group.column(c)]) for c in ("tokens", "again", "more"))
-    tokens, df = np.unique(tokens, return_counts=True)
-    np.add.at(df, np.searchsorted(tokens, again), more)
-    return pa.table({"token": tokens[df > 1], "df": df[df > 1].astype(np.int64)})
+    """Keys of a bucket that several documents have."""
+    keys, again, more = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in group.column(c)]) for c, t in (("keys", np.uint32), ("again", np.uint32), ("more", np.int64)))
+    keys, df = np.unique(keys, return_counts=True)
+    np.add.at(df, np.searchsorted(keys, again), more)
+    bucket = group.column("bucket")[0].as_py() << 32
+    return pa.table({"key": bucket + keys[df > 1].astype(np.int64), "df": df[df > 1].astype(np.int64)})
 
 
-def document_frequencies(texts: DataFrame, n_tokens: int) -> DataFrame:
-    """``(token, df)`` of the lower-half tokens that several rows have.
+def document_frequencies(texts: DataFrame, buckets: int) -> DataFrame:
+    """``(key, df)`` of the lower-half tokens that several rows have; a token's key is its bits in ``_key_mask``.
 
-    The tasks count their slices of the rows, so a frequent token is one entry for each slice, and pack
-    the tokens of a bucket into one value; buckets hold about ``BUCKET_TOKENS`` tokens at any size.
+    The tasks count their slices of the rows, so a frequent token is one entry of four bytes for each slice, and pack
+    the tokens of a bucket into one value. Tokens of one key are counted together: all have the same, higher count
+    then, which orders them as well as any other and never hides a token that several rows have.
     """
-    buckets = max(1, -(-n_tokens // BUCKET_TOKENS))
-    parts = texts.mapInArrow(_token_parts(buckets), "bucket long, tokens binary, again binary, more binary")
-    return parts.groupBy("bucket").applyInArrow(_frequencies, "token long, df long")
+    parts = texts.mapInArrow(_token_parts(buckets), "bucket long, keys binary, again binary, more binary")
+    return parts.groupBy("bucket").applyInArrow(_frequencies, "key long, df long")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,12 +254,14 @@ def class_links(docs: DataFrame, named: DataFrame) -> DataFrame:
     """Links ``(a, b)`` between classes that connect what the similarity connects."""
     texts = docs.where(F.col("text").isNotNull())
     only = texts.select("text")
-    common = document_frequencies(only, named.agg(F.coalesce(F.sum((F.col("n") / 2).cast("long")), F.lit(0))).first()[0])
+    n_tokens = named.agg(F.coalesce(F.sum((F.col("n") / 2).cast("long")), F.lit(0))).first()[0]
+    buckets = 1 << (n_tokens // BUCKET_TOKENS).bit_length()
+    common = document_frequencies(only, buckets)
     index = only.mapInArrow(_index, "token long, node binary, n long")
-    kept = index.join(common.hint("shuffle_hash"), "token")
+    kept = index.join(common.hint("shuffle_hash"), F.col("token").bitwiseAND(F.lit(_key_mask(buckets))) == F.col("key"))
     half = F.ceil(F.col("n") / 2)
-    # the join has dealt the rows by token, so copies are dropped without another shuffle
-    distinct = kept.select("token", "node", "n", "df").distinct()
+    # the join has dealt the rows by key, so copies are dropped without another shuffle
+    distinct = kept.select("key", "token", "node", "n", "df").distinct()
     own = Window.partitionBy("node")
     entries = (
         distinct.withColumn("place", F.row_number().over(own.orderBy("df", "token")))

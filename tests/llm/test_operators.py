@@ -388,6 +388,23 @@ def test_jaccard_rows_without_id(spark):
     assert sorted(map(tuple, jaccard_join.similar_groups(table).collect()), key=repr) == plain.groups(rows)
 
 
+def test_jaccard_counts_travel_as_four_bytes(spark):
+    """Each slice sends four bytes for a token; what several rows have is found in all buckets, with its count."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(4, 80))) for _ in range(40)] + ["", "a b"] * 2
+    halves = [jaccard_join.lower_half(s) for s in jaccard_join.shingle_sets(pa.array(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    parts = list(jaccard_join._token_parts(8)(iter([batch])))
+    assert sum(len(x) for p in parts for x in p.column("keys").to_pylist()) == 4 * len(set(np.concatenate(halves)))
+    df = {}
+    for half in halves:
+        for token in half.tolist():
+            df[token & jaccard_join._key_mask(8)] = df.get(token & jaccard_join._key_mask(8), 0) + 1
+    table = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    got = {r["key"]: r["df"] for r in jaccard_join.document_frequencies(table, 8).collect()}
+    assert len(got) > 0 and got == {k: n for k, n in df.items() if n > 1}
+
+
 def test_every_order_keeps_linked_pairs():
     rng = np.random.default_rng(6)
     for _ in range(300):
