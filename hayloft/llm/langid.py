@@ -30,6 +30,7 @@ from hayloft.llm.common import U64, coded, slices, spans, split_words
 MARK = 0x2581  # starts a word in the vocabulary
 BASE = 0x9E3779B97F4A7C15
 LONGEST = 40
+GROUP = 4_000  # words whose sums over all cuts are held at once, one row for each letter
 UNKNOWN = 1e-7  # probability of a letter that no piece holds, in every language
 PRIOR = 0.1  # added to each piece's count
 UNDETERMINED = "und"
@@ -126,8 +127,8 @@ def word_log_probs(model: Model, values: list[str]) -> np.ndarray:
         group = np.flatnonzero(lengths == length)
         for part in range(0, length, LONGEST):
             size = min(LONGEST, length - part)
-            for begin in range(0, len(group), 50_000):
-                some = group[begin : begin + 50_000]
+            for begin in range(0, len(group), GROUP):
+                some = group[begin : begin + GROUP]
                 text = points[starts[some][:, None] + part + np.arange(size)]
                 out[some] += np.log(_forward(model, text, power))
     return out

@@ -345,6 +345,40 @@ def test_lm_scores(docs, empty):
     assert lm_score.scores(empty).count() == 0
 
 
+def test_language_sums_are_held_for_a_bounded_number_of_words(monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = ["\u2581", *"abcd", "ab", "bcd"]
+    keys = np.array([langid._key(t) for t in texts], np.uint64)
+    order = np.argsort(keys)
+    model = langid.Model(("x", "y"), keys[order], rng.random((len(texts), 2))[order], 3)
+    words = ["".join(rng.choice(list("abcde"), 7)) for _ in range(langid.GROUP * 2 + 5)]
+    forward, held = langid._forward, []
+    monkeypatch.setattr(langid, "_forward", lambda m, text, power: held.append(len(text)) or forward(m, text, power))
+    got = langid.word_log_probs(model, words)
+    assert max(held) <= langid.GROUP <= 4_000 and sum(held) == len(words)
+    monkeypatch.setattr(langid, "GROUP", len(words))
+    assert np.array_equal(got, langid.word_log_probs(model, words))
+
+
+def test_pipeline_stages_get_small_batches(spark, tmp_path, monkeypatch):
+    """A batch of whole texts lies in the JVM and in the worker of every task; the session's own setting comes back."""
+    import corpus_pipeline
+
+    def sizes(session, docs, sf_dir):
+        def rows(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+        return docs.mapInArrow(rows, "n long")
+
+    spark.range(9_000).selectExpr("id as doc_id", "'a b' as text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("sizes", sizes)])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = [r["n"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sum(got) == 9_000 and max(got) <= corpus_pipeline.BATCH_ROWS <= 2_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_jaccard_groups(docs, empty):
     got = sorted(map(tuple, jaccard_join.similar_groups(docs).collect()), key=repr)
     assert got == plain.groups([(r[0], r[1]) for r in plain.documents()])
