@@ -7,6 +7,7 @@ A dictionary is ``(lang, word, freq)``. Neighbours are found by equi-joins of di
   (there are more pieces than edits), at a place that the edits left and right of it can have moved by no more than
   their number. So a word asks, for each length a neighbour can have and each piece, for a few of its own substrings:
   a number that depends on d, not on the word. Rows and bytes are linear in the length of the words.
+* Both are joined by hashes, which sort and travel faster than texts; ``levenshtein`` drops what is equal by chance.
 * Pieces of dictionary words shorter than ``PIECE_LETTERS`` x (d + 1) letters would be common to too many words. These words are found by
   equal deletion variants: two words within distance d share a string that arises from each by deleting at most d letters.
   A short word has few of them.
@@ -14,37 +15,47 @@ A dictionary is ``(lang, word, freq)``. Neighbours are found by equi-joins of di
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from hayloft.session import broadcast_if_small
 
-# Letters of a piece from which on words are found by pieces.
-PIECE_LETTERS = 3
+# Letters of a piece from which on words are found by pieces. Pairs that share a shorter one grow with the square of the
+# vocabulary and soon outnumber the variants of its words.
+PIECE_LETTERS = 5
 
 
-def _one_deletion(word: Column) -> Column:
-    places = F.sequence(F.lit(1), F.length(word))
-    shorter = F.transform(places, lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
-    return F.when(F.length(word) > 0, shorter).otherwise(F.array().cast("array<string>"))
+def _left_after(word: str, distance: int) -> set[str]:
+    made, last = {word}, {(word, 0)}
+    for _ in range(distance):
+        # letters go from left to right, so that no set of letters is deleted in two orders
+        last = {(rest[:i] + rest[i + 1 :], i) for rest, at in last for i in range(at, len(rest))}
+        made.update(rest for rest, _ in last)
+    return made
 
 
 def deletion_variants(word: Column, distance: int) -> Column:
     """The word and everything left after deleting up to ``distance`` letters."""
-    reached = F.array(word)
-    for _ in range(distance):
-        reached = F.array_union(reached, F.flatten(F.transform(reached, _one_deletion)))
-    return reached
+
+    @F.arrow_udf(ArrayType(StringType()))
+    def variants(words: pa.Array) -> pa.Array:
+        return pa.array([None if w is None else list(_left_after(w, distance)) for w in words.to_pylist()], pa.list_(pa.string()))
+
+    return variants(word)
 
 
 def _by_variants(words: DataFrame, dictionary: DataFrame, distance: int) -> DataFrame:
-    """Pairs (lang, word, candidate, freq) that share a deletion variant."""
-    left = words.select("lang", "word", F.explode(deletion_variants(F.col("word"), distance)).alias("_v"))
-    right = dictionary.select(
-        "lang", F.col("word").alias("candidate"), "freq", F.explode(deletion_variants(F.col("word"), distance)).alias("_v")
-    )
-    close = F.abs(F.length("word") - F.length("candidate")) <= distance
-    return left.join(right, ["lang", "_v"]).where(close).drop("_v")
+    """Pairs (lang, word, candidate, freq) that share a deletion variant, and others whose keys are equal by chance."""
+
+    def keyed(df: DataFrame, *columns) -> DataFrame:
+        # named first: an inner explode would ask for the variants once more, to leave out words without any
+        made = df.withColumn("_vs", deletion_variants(F.col("word"), distance)).select(*columns, F.explode_outer("_vs").alias("_v"))
+        return made.withColumn("_key", F.xxhash64("_v")).drop("_v")
+
+    right = keyed(dictionary, "lang", F.col("word").alias("candidate"), "freq")
+    return keyed(words, "lang", "word").join(right, ["_key", "lang"]).drop("_key")
 
 
 def pieces(length: Column, distance: int) -> Column:
@@ -64,10 +75,11 @@ def pieces(length: Column, distance: int) -> Column:
 
 
 def _by_pieces(words: DataFrame, dictionary: DataFrame, distance: int) -> DataFrame:
-    """Pairs (lang, word, candidate, freq) where a piece of the candidate stands whole in the word, near its place."""
-    whole = F.explode(pieces(F.length("candidate"), distance)).alias("p")
-    right = dictionary.select("lang", F.col("word").alias("candidate"), "freq").select("lang", "candidate", "freq", whole)
-    right = right.select("lang", "candidate", "freq", F.length("candidate").alias("_n"), F.col("p.i").alias("_i"), F.expr("substring(candidate, p.start + 1, p.size)").alias("_piece"))
+    """Pairs (lang, word, candidate, freq) where a piece of the candidate stands whole in the word, near its place, and chance ones."""
+    key = lambda n, piece: F.xxhash64(n, "p.i", piece).alias("_key")
+    right = dictionary.select("lang", F.col("word").alias("candidate"), "freq")
+    right = right.select("*", F.explode(pieces(F.length("candidate"), distance)).alias("p"))
+    right = right.select("lang", "candidate", "freq", key(F.length("candidate"), F.expr("substring(candidate, p.start + 1, p.size)")))
 
     lengths = F.explode(F.sequence(F.greatest(F.length("word") - distance, F.lit(distance + 1)), F.length("word") + distance)).alias("_n")
     asked = words.select("lang", "word", lengths).select("lang", "word", "_n", F.explode(pieces(F.col("_n"), distance)).alias("p"))
@@ -77,8 +89,9 @@ def _by_pieces(words: DataFrame, dictionary: DataFrame, distance: int) -> DataFr
     high = F.least(start + i, start + shift + (distance - i), F.length("word") - F.col("p.size"))
     at = F.explode(F.sequence(low, high)).alias("_at")
     left = asked.where(high >= low).select("lang", "word", "_n", "p", at)
-    left = left.select("lang", "word", "_n", F.col("p.i").alias("_i"), F.expr("substring(word, _at + 1, p.size)").alias("_piece")).distinct()
-    return left.join(right, ["lang", "_n", "_i", "_piece"]).select("lang", "word", "candidate", "freq")
+    # words are dealt by themselves, so equal keys of a word meet without an exchange
+    left = left.select("lang", "word", key(F.col("_n"), F.expr("substring(word, _at + 1, p.size)"))).distinct()
+    return left.join(right, ["_key", "lang"]).drop("_key")
 
 
 def _dealt(words: DataFrame) -> DataFrame:
@@ -96,7 +109,9 @@ def near_words(words: DataFrame, dictionary: DataFrame, distance: int, piece_let
     variants = _by_variants(words.where(F.length("word") < short + distance), dictionary.where(F.length("word") < short), distance)
     whole = _by_pieces(words.where(F.length("word") >= short - distance), dictionary.where(F.length("word") >= short), distance)
     # verified where pairs meet: what is too far never reaches the shuffle, a pair that meets again leaves it once
-    return variants.unionByName(whole).withColumn("distance", F.levenshtein("word", "candidate", distance)).where("distance >= 0").distinct()
+    longer = F.abs(F.length("word") - F.length("candidate"))
+    apart = F.when(longer <= distance, F.levenshtein("word", "candidate", distance)).otherwise(-1)
+    return variants.unionByName(whole).withColumn("distance", apart).where("distance >= 0").distinct()
 
 
 def prefix_table(dictionary: DataFrame) -> DataFrame:

@@ -107,3 +107,23 @@ def test_pairs_that_are_too_far_apart_are_not_shuffled(spark):
     plan = near._jdf.queryExecution().optimizedPlan().toString()
     assert "levenshtein" in plan.lower() and plan.lower().index("aggregate") < plan.lower().index("levenshtein")
     assert [r.distance for r in near.collect()] == [1]
+
+
+def test_words_of_middle_length_meet_by_variants(spark):
+    """Words of one stem share pieces of three letters with all others, but few of them lie near one another."""
+    rng = random.Random(11)
+    known = sorted({"pre" + "".join(rng.choice("abcdefghij") for _ in range(4)) + "ion" for _ in range(120)})
+    asked = [("x", w[:4] + "z" + w[5:]) for w in known[:60]] + [(None, known[0]), ("x", None), ("x", "pre😀ion")]
+    words = spark.createDataFrame(asked, "lang string, word string")
+    table = spark.createDataFrame([("x", w, 1.0) for w in known] + [("x", "pré😀ion", 1.0)], "lang string, word string, freq double")
+    met = dictionary._by_pieces(words, table.where("length(word) >= %d" % (3 * dictionary.PIECE_LETTERS)), 2).count()
+    assert met == 0
+    got = {(r.word, r.candidate): r.distance for r in dictionary.near_words(words, table, 2).collect()}
+    right = [*known, "pré😀ion"]
+    assert got == {(w, c): distance(w, c) for lang, w in asked if lang and w for c in right if distance(w, c) <= 2}
+
+
+def test_deletion_variants(spark):
+    df = spark.createDataFrame([("abcb",), ("",), (None,)], "word string")
+    got = [r[0] and sorted(r[0]) for r in df.select(dictionary.deletion_variants(F.col("word"), 2)).collect()]
+    assert got == [["ab", "abb", "abc", "abcb", "ac", "acb", "bb", "bc", "bcb", "cb"], [""], None]
