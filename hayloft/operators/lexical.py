@@ -14,7 +14,7 @@ partitions of its own tokens.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import NamedTuple
 
@@ -30,6 +30,8 @@ from hayloft.session import BROADCAST_ROWS, broadcast_if_small, fits
 
 # Partitions of stored postings; a batch's tokens name at most so many.
 BUCKETS = 64
+# Postings of a part are grouped in slices by token, as many as there are so many items in the part.
+SLICE_ITEMS = 1_000
 
 
 class LexicalIndex(NamedTuple):
@@ -175,9 +177,57 @@ def inverted_sets(postings: DataFrame, span: int = 100_000) -> DataFrame:
 
     A frequent token's items come in parts, one per ``span`` of item ids, so that no row or task
     holds a list that grows with the collection. Scoring reads postings, never these sets.
+    Postings are dealt once by slices of a part, sorted by slice, and a task makes the sets of one slice after the other.
     """
-    parts = postings.withColumn("part", F.floor(F.col("item_id") / span))
-    return parts.groupBy("field", "variant", "token", "part").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    slices = max(1, span // SLICE_ITEMS)
+    parts = postings.select("field", "variant", "token", "item_id", F.floor(F.col("item_id") / span).alias("part"))
+    place = F.pmod(F.xxhash64("token"), F.lit(slices))
+    dealt = parts.withColumn("slice", F.col("part") * slices + place).repartition("slice").sortWithinPartitions("slice")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            number = batch.column("slice").fill_null(np.iinfo(np.int64).min).to_numpy()
+            edges = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(number)]
+            for lo, hi in zip(edges, edges[1:]):
+                if hi > lo:
+                    if held and number[lo] != last:
+                        yield _sets_of(pa.Table.from_batches(held))
+                        held = []
+                    held.append(batch.slice(lo, hi - lo))
+                    last = number[lo]
+        if held:
+            yield _sets_of(pa.Table.from_batches(held))
+
+    kinds = {c: parts.schema[c].dataType.simpleString() for c in ("field", "variant", "token", "part", "item_id")}
+    item = kinds.pop("item_id")
+    return dealt.mapInArrow(sets, ", ".join([*(f"{c} {t}" for c, t in kinds.items()), f"items array<{item}>"]))
+
+
+def _sets_of(rows: pa.Table) -> pa.RecordBatch:
+    """The sets of a slice, whose rows are of one part; a token that has no item but null has an empty set."""
+    group, named = np.zeros(len(rows), np.int64), []
+    for c in ("field", "variant", "token"):
+        encoded = rows.column(c).combine_chunks().dictionary_encode(null_encoding="encode")
+        group = group * len(encoded.dictionary) + encoded.indices.to_numpy()
+        named.append(encoded.dictionary)
+    items = rows.column("item_id").combine_chunks()
+    known = items.is_valid().to_numpy(zero_copy_only=False)
+    item = items.fill_null(0).to_numpy()
+    groups = np.unique(group)
+    group, item = group[known], item[known]
+    order = np.lexsort((item, group))
+    group, item = group[order], item[order]
+    new = np.append(True, (group[1:] != group[:-1]) | (item[1:] != item[:-1]))[: len(group)]
+    group, item = group[new], item[new]
+    ends = np.append(np.searchsorted(group, groups), len(group))
+    columns, left = [], groups
+    for values in reversed(named):
+        columns.append(values.take(pa.array(left % len(values))))
+        left = left // len(values)
+    part = rows.column("part").slice(0, 1).combine_chunks().take(pa.array(np.zeros(len(groups), np.int64)))
+    sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(item).cast(items.type))
+    return pa.RecordBatch.from_arrays([*reversed(columns), part, sets], names=["field", "variant", "token", "part", "items"])
 
 
 def query_tokens(

@@ -234,3 +234,17 @@ def test_kinds_of_different_length(spark):
         got = vectors.similarity(table, queries, matrix_rows=rows).collect()
         assert len(got) == 30
         assert all(abs(r["score"] - asked[r["query_id"], r["kind"]] @ stored[r["item_id"], r["kind"]]) < 1e-8 for r in got)
+
+
+def test_inverted_sets_are_made_without_grouping_objects(spark):
+    rows = [("description", "original", t, i, 1, 9) for t, ids in {"a": (5, 3, 3, 12, 250), "b": (7, None), "c": (None,)}.items() for i in ids]
+    rows += [("ocr", "original", "a", i, 1, 9) for i in (5, -1)]
+    postings = spark.createDataFrame(rows, "field string, variant string, token string, item_id long, tf long, dl long").repartition(3)
+    for span in (10, 5_000):
+        want = {}
+        for field, _, token, item, *_ in rows:
+            want.setdefault((field, token, None if item is None else item // span), set()).update([] if item is None else [item])
+        sets = lexical.inverted_sets(postings, span)
+        found = sets.collect()
+        assert {(r.field, r.token, r.part): r["items"] for r in found} == {k: sorted(x) for k, x in want.items()} and len(found) == len(want)
+        assert "Aggregate" not in sets._jdf.queryExecution().executedPlan().toString()
