@@ -248,3 +248,43 @@ def test_inverted_sets_are_made_without_grouping_objects(spark):
         found = sets.collect()
         assert {(r.field, r.token, r.part): r["items"] for r in found} == {k: sorted(x) for k, x in want.items()} and len(found) == len(want)
         assert "Aggregate" not in sets._jdf.queryExecution().executedPlan().toString()
+
+
+def exchanges(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange ")
+
+
+def test_a_page_of_lists_of_unknown_length_takes_one_pass(spark, monkeypatch):
+    rows = [(q, i, s) for q, i, s in results(spark, 400).collect()] + [(1, None, 0.5), (1, 9_999, None), (1, 9_998, float("nan")), (None, 1, 1.0)]
+    ordered = spark.createDataFrame(rows, "query_id long, item_id long, score double").repartition(3).withColumn("order", F.col("item_id"))
+    whole = search.paged(ordered, 0, None, 1_000)
+    for held in (1_000_000, 1):
+        monkeypatch.setattr(search, "HELD_ROWS", held)
+        for offset in (0, 30):
+            page = search.paged(ordered, offset, 25, None)
+            want = whole.where(f"query_id is not null and rank > {offset} and rank <= {offset + 25}")
+            assert sorted(map(str, page.collect())) == sorted(map(str, want.collect()))
+    assert exchanges(page) == 2  # the rows are dealt once above, their heads once by query
+
+
+def test_sums_of_fields_are_dealt_once(spark):
+    hits = [("ocr", "original", "a", 1, 0.5), ("ocr", "lemma", "a", 1, 0.5), ("caption", "original", "a", 2, 1.0), ("description", "original", "a", 1, 2.0)]
+    weights = [(7, f, v, "a", 2.0) for f in S.TEXT_FIELDS for v in ("original", "lemma")]
+    hits = spark.createDataFrame(hits, "field string, variant string, token string, item_id long, share double")
+    weights = spark.createDataFrame(weights, "query_id long, field string, variant string, token string, weight double")
+    scored = lexical.bm25_fields(lexical.Matched(None, hits, F.broadcast(weights), None, True))
+    assert {(r.query_id, r.field, r.item_id, r.score) for r in scored.collect()} == {(7, "ocr", 1, 2.0), (7, "caption", 2, 2.0), (7, "description", 1, 4.0)}
+    best = fusion.max_weighted(scored.where("field <> 'caption'"), S.FIELD_WEIGHTS, "field")
+    assert [tuple(r) for r in best.collect()] == [(7, 1, 4.0)]
+    assert best._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+
+
+def test_ranks_and_their_sums_are_dealt_once(spark):
+    lists = results(spark, 300).withColumn("retriever", F.when(F.col("item_id") % 2 == 0, "lexical").otherwise("clip")).repartition(2)
+    fused = fusion.reciprocal_rank(lists, {"lexical": 1.0, "clip": 0.5}, list_bound=300)
+    ranked = fusion.rank(lists, ("query_id", "retriever"), list_bound=300)
+    part = F.when(F.col("retriever") == "lexical", 1.0).otherwise(0.5) / (60.0 + F.col("rank"))
+    want = ranked.groupBy("query_id", "item_id").agg(F.round(F.sum(part), 9).alias("score"))
+    assert {tuple(r) for r in fused.collect()} == {tuple(r) for r in want.collect()}
+    assert fused._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
