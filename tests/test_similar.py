@@ -76,3 +76,15 @@ def test_products_are_made_a_bounded_number_at_a_time(monkeypatch):
 def _types(schema: str, row: dict) -> list[str]:
     named = dict(c.split(" ") for c in schema.split(", "))
     return [named[c] for c in row]
+
+
+def test_lists_of_a_seed_are_dealt_once(spark):
+    schema = "id long, description string, ocr_text string, transcript string"
+    files = spark.createDataFrame([(i, f"cat {i % 3}", "dog" if i % 2 else None, f"bird {i}") for i in range(12)], schema)
+    rng = np.random.default_rng(5)
+    cells = [(i, kind, vec.tolist()) for kind in "DOT" for i, vec in zip(range(12), rng.normal(size=(12, 64)))]
+    store = spark.createDataFrame(cells, "item_id long, kind string, vec array<double>")
+    found = similar.similar_metadata(files, store, files.select(F.col("id").alias("seed_id")), 4)
+    assert found.where("item_id = seed_id and rank = 1").count() == 12
+    physical = found._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in physical.splitlines() if "Exchange hashpartitioning" in x and "item_id" in x]
